@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language_id, minhash, personal_data, piece_codec, token_files, vector_passes, warc
+from . import chat, decontamination, language_id, minhash, personal_data, piece_codec, substring_dedup, token_files, vector_passes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_query,
     "op2_token_files": token_files.op2_query,
+    "op3_substring_dedup": substring_dedup.op3_query,
     "op4_piece_codec": piece_codec.op4_query,
     "op5_personal_data": personal_data.op5_query,
     "op6_warc": warc.op6_query,
