@@ -187,7 +187,7 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int
     partitioning by doc_id.
     """
     parts = parts or shuffle_partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, first = TaskContext.get().partitionId(), 0, 0
