@@ -124,9 +124,10 @@ class Scorer:
         return self._table[rows]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.4, seed: int = 7, chars: int = 3000) -> LanguageModel:
+def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: float = 0.4, seed: int = 7, chars: int = 3000) -> LanguageModel:
     """Fit embeddings and class matrix by SGD, then the temperature on every fifth text, which training doesn't see.
 
+    The texts are gone through as often as ``updates`` steps take, six times at least, so small tables train as long.
     ``chars`` bounds the part of a training text that is used; prediction always reads whole texts.
     """
     rng = np.random.default_rng(seed)
@@ -141,6 +142,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
             y.append(of[label])
     held = np.arange(len(bags)) % 5 == 4
     fit = np.flatnonzero(~held) if held.any() else np.arange(len(bags))
+    epochs = max(6, -(-updates // max(1, len(fit))))
     embedding = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     weights, bias = np.zeros((DIM, k)), np.zeros(k)
     mean_e, mean_w, mean_b, kept = np.zeros_like(embedding), np.zeros_like(weights), np.zeros_like(bias), 0
@@ -161,7 +163,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
             weights -= step * np.outer(mean, p)
             bias -= step * 0.05 * p
             np.subtract.at(embedding, bag, step * 4 * back / len(bag))
-        if epoch >= epochs - 2:
+        if epoch >= epochs - max(2, epochs // 3):
             mean_e, mean_w, mean_b, kept = mean_e + embedding, mean_w + weights, mean_b + bias, kept + 1
     kept = max(kept, 1)
     table, bias = (mean_e / kept) @ (mean_w / kept), mean_b / kept
@@ -175,7 +177,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     best, temperature = np.inf, 1.0
     if logits:
         z, t = np.array(logits), np.array(truth)
-        for candidate in np.geomspace(0.01, 100, 120):
+        for candidate in np.geomspace(0.2, 100, 100):
             s = z / candidate
             s = s - s.max(1, keepdims=True)
             loss = float((np.log(np.exp(s).sum(1)) - s[np.arange(len(t)), t]).mean())
@@ -191,6 +193,10 @@ def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     parameter; the number of languages bounds the rest.
     """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).select("doc_id", "lang")
+    # a share of each language that is twice the bound on average, so that no task ranks a whole language
+    share = learn.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * per_language) / F.col("n")).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    learn = learn.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "lang")
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = learn.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_language).select("doc_id").distinct()
     # at most per_language rows for each language: small by its parameter
