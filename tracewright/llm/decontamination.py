@@ -105,7 +105,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int =
     names = docs.columns
     rows, in_place = _verified(docs, benchmark, max_windows)
     if in_place:
-        return rows.where(F.size("_places") == 0).select(*names)
+        # the row number in the condition keeps the words from being computed anew for each window
+        return rows.where("size(_places) = 0 AND _row >= 0").select(*names)
     bad = contamination(docs, benchmark, max_windows).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*names)
 
