@@ -6,8 +6,9 @@ coordinate, which is the least value over the set. ``bands`` bands of ``rows`` c
 
 Documents with equal sets become one class first; only class representatives go on. Within a bucket every representative
 is paired with the smallest one, so a bucket yields as many pairs as members, and the pairs that pass on full sets are
-united. Representatives that share a bucket but are still in different components are then paired with each other,
-component against component, so that no pair that shares a bucket goes unchecked unless it is in one component already.
+united. Buckets whose members are still in different components are then compared on full sets within tasks, in chunks of
+bounded size, component against component; a task gives only the links that join components. So no pair that shares a
+bucket goes unchecked unless it is in one component already, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE = 5
 ROWS = 4
 BANDS = 32
 THRESHOLD = 75  # percent
+#: shingles of a bucket that are compared in one piece
+CHUNK = 2_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -149,6 +152,55 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different roots within a bucket; ``members``: key, rep, root, chunks.
+
+    A bucket of several chunks is compared chunk against chunk, each pair of chunks in a task of its own.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", "rep", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = dealt.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        names, counts = np.unique(root, return_counts=True)
+        out: list[tuple[int, int]] = []
+        if len(names) > 1:
+            shingler = Shingler(size)
+            texts = ["" if t is None else t for t in table.column("text").to_pylist()]
+            sets = [s for a in range(0, len(texts), 128) for s in shingler.sets(texts[a : a + 128])]
+            n = np.array([len(s) for s in sets])
+            if not n.all():  # another row of the same doc_id, without words
+                some = n > 0
+                rep, root, n, sets = rep[some], root[some], n[some], [s for s in sets if len(s)]
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(n) - n
+            marks = np.zeros(int(flat.max()) + 1, np.int32)
+            parent = {r: r for r in names.tolist()}
+
+            def find(r: int) -> int:
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            # every pair across components has one side outside the largest
+            for i in np.flatnonzero(root != names[counts.argmax()]).tolist():
+                mine = flat[starts[i] : starts[i] + n[i]]
+                marks[mine] = 1
+                common = np.add.reduceat(marks[flat], starts)
+                marks[mine] = 0
+                for j in np.flatnonzero((100 * common >= percent * (n[i] + n - common)) & (root != root[i])).tolist():
+                    x, y = find(int(root[i])), find(int(root[j]))
+                    if x != y:
+                        parent[x] = y
+                        out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
+
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, percent: int = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -169,12 +221,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, band
     links = materialise(verified(stars, texts, size, percent), "links")
     united = components(links)
     placed = bucket.select("key", "rep").distinct().join(united.select(F.col("v").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_ = materialise(placed.join(mixed, "key"), "open")
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialise(verified(rest, texts, size, percent), "links")
+    sized = placed.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep")
+    mixed = sized.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n_shingles").alias("n")).where("r0 < r1")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    open_ = materialise(placed.join(mixed.select("key", chunks.alias("chunks")), "key"), "open")
+    more = materialise(_links_between(open_, texts, size, percent), "links")
     if not more.isEmpty():
         united = components(links.union(more))
     root = F.coalesce("root", "rep", "doc_id")
