@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts_of
 
@@ -220,7 +221,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     kept = docs.select(*keep)
     fields = [*pa_fields(kept), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
     schema = pa.schema(fields)
-    ddl = kept.schema.add("lang_pred", "string").add("score", "double")
+    ddl = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)

@@ -3,7 +3,7 @@
 Units are lines, paragraphs, or (``stretch``) lines cut further where the words themselves say so: before a word pair
 whose hash is below those of the pairs around it. Such cuts depend on the nearby words alone, so a passage that repeats
 inside longer lines falls into the same units wherever it stands, but for a few words at its ends. Units are normalised
-(A-Z lower-cased, white space runs as one blank) and hashed to 128 bits. The digests are grouped over all documents; the
+(A-Z lower-cased, white space runs as one blank) and hashed to 96 bits. The digests are grouped over all documents; the
 earliest occurrence by (doc_id, unit number) stays. A run of neighbouring repeated units is removed if it has at least
 ``min_words`` words, so that short phrases which everybody uses stay. Removed spans keep their original offsets.
 """
@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, texts_of
 from .minhash import _mix
@@ -96,73 +97,83 @@ class Units:
         return at[starts, 0], at[starts + counts - 1, 1], counts, digest.view(np.int64)
 
 
-UNITS = "doc_id long, unit int, start int, end int, words int, d0 long, d1 long"
+UNITS = "doc_id long, unit int, d0 long, d1 int"
 
 
 def units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
-    """One row for each unit of ``docs`` (doc_id, text): doc_id, unit (from 0), start, end, words, d0, d1."""
-    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64())])
+    """One row for each unit of ``docs`` (doc_id, text): doc_id, unit (from 0) and its digest d0, d1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Units(unit)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for a in range(0, len(texts), 256):
-                found = [own.of(t) for t in texts[a : a + 256]]
-                n = [len(f[0]) for f in found]
-                column = lambda k: np.concatenate([f[k] for f in found])  # noqa: E731, B023
-                digest = column(3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[a : a + 256], np.int64), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), *[pa.array(column(k).astype(np.int32)) for k in range(3)], pa.array(digest[:, 0]), pa.array(digest[:, 1])], schema=schema)
+                digests = [own.of(t)[3] for t in texts[a : a + 256]]
+                n = [len(d) for d in digests]
+                digest = np.concatenate(digests)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[a : a + 256], np.int64), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
 
     # rows without an id can't be ranked and are kept as they are
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(cut, UNITS)
 
 
-def repeated_spans(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_WORDS) -> DataFrame:
-    """For each document with something to remove: doc_id, spans (sorted array of start, end, words).
+def repeated_units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
+    """For each document with units that an earlier place has: doc_id, units (their sorted numbers).
 
     Occurrences are grouped by digest with the least (doc_id, unit) per task before any shuffle, and only digests met more
     than once are joined back, in a join that Spark can split; so one line in a third of all rows costs no more than others.
-    Rows that share a doc_id are told apart by nothing: of equal units at the same place each stays.
     """
     cut = materialise(units(docs, unit), "units")
     first = cut.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "unit")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    again = cut.join(first, ["d0", "d1"]).where(F.struct("doc_id", "unit") > F.col("f")).select("doc_id", "unit", "start", "end", "words")
-    # neighbouring units of a document make a run; a document's units are sorted within its own group
-    by_doc = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "words"))).alias("u"))
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])))])
+    again = cut.join(first, ["d0", "d1"]).where(F.struct("doc_id", "unit") > F.col("f")).select("doc_id", "unit")
+    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("_units"))
 
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[dict]] = []
-            for own in batch.column("u").to_pylist():
-                spans: list[dict] = []
-                last = -2
-                for x in own:
-                    if x["unit"] == last + 1:
-                        spans[-1]["end"] = x["end"]
-                        spans[-1]["words"] += x["words"]
-                    elif x["unit"] != last:
-                        spans.append({"start": x["start"], "end": x["end"], "words": x["words"]})
-                    last = x["unit"]
-                out.append([s for s in spans if s["words"] >= min_words])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, schema.field("spans").type)], schema=schema)
 
-    return by_doc.mapInArrow(join_up, "doc_id long, spans array<struct<start:int,end:int,words:int>>").where("size(spans) > 0")
+REMOVED = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")]))
 
 
 def remove_repeats(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated units cut from ``text`` and a column ``removed`` of the spans (offsets in the old text).
 
-    All rows and columns stay; null and empty texts have no units; an empty table gives an empty table.
+    Neighbouring repeated units make a run; runs of fewer than ``min_words`` words stay. All rows and columns stay; null
+    and empty texts have no units; an empty table gives an empty table. Rows that share a doc_id share its units: of equal
+    units at the same place each stays.
     """
-    spans = repeated_spans(docs, unit, min_words).withColumnRenamed("spans", "removed")
-    names = [n for n in docs.columns if n != "removed"]
-    both = docs.select(*names).join(spans, "doc_id", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    kept = F.aggregate("removed", start, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("text")), lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    return both.select(*[text.alias("text") if n == "text" else F.col(n) for n in names], F.coalesce("removed", F.expr("CAST(array() AS array<struct<start:int,end:int,words:int>>)")).alias("removed"))
+    from .language_id import pa_fields
+
+    kept = docs.select(*[n for n in docs.columns if n not in ("removed", "_units")])
+    fields = pa_fields(kept)
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+    schema = pa.schema([*fields, ("removed", spans_type)])
+    both = kept.join(repeated_units(docs, unit), "doc_id", "left").select(*kept.columns, "_units")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Units(unit)
+        for batch in batches:
+            texts, removed = batch.column("text").to_pylist(), []
+            for i, numbers in enumerate(batch.column("_units").to_pylist()):
+                spans: list[dict] = []
+                if numbers and texts[i]:
+                    starts, ends, words, _ = own.of(texts[i])
+                    last = -2
+                    for k in numbers:
+                        if k >= len(starts):
+                            break  # another row of the same doc_id, with a shorter text
+                        if k == last + 1:
+                            spans[-1]["end"] = int(ends[k])
+                            spans[-1]["words"] += int(words[k])
+                        else:
+                            spans.append({"start": int(starts[k]), "end": int(ends[k]), "words": int(words[k])})
+                        last = k
+                    spans = [s for s in spans if s["words"] >= min_words]
+                if spans:
+                    edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(texts[i])]
+                    texts[i] = "".join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                removed.append(spans)
+            yield pa.RecordBatch.from_arrays([*[pa.array(texts, f.type) if f.name == "text" else batch.column(f.name).cast(f.type) for f in fields], pa.array(removed, spans_type)], schema=schema)
+
+    return both.mapInArrow(cut, T.StructType([*kept.schema.fields, T.StructField("removed", REMOVED)]))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
