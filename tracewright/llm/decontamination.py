@@ -118,7 +118,7 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = M
     if not in_place:
         raise ValueError(f"the benchmark has more than {max_windows} windows: drop documents instead, or raise the bound")
     letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"^{letters}|{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
     cut = F.expr("array_join(filter(_pieces, (p, i) -> NOT exists(_places, h -> i + 1 - _skip >= h.at AND i + 1 - _skip < h.at + h.size)), '')")
     rows = rows.withColumn("_pieces", pieces).withColumn("_skip", F.when(F.col("text").rlike(f"^{letters}"), 0).otherwise(1))
     return rows.select(*[F.when(F.size("_places") > 0, cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])

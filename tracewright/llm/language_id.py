@@ -141,6 +141,8 @@ def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: floa
         if len(own):
             bags.append(own)
             y.append(of[label])
+    if not bags:
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     held = np.arange(len(bags)) % 5 == 4
     fit = np.flatnonzero(~held) if held.any() else np.arange(len(bags))
     epochs = max(6, -(-updates // max(1, len(fit))))
@@ -210,8 +212,8 @@ def fit_language_model(docs: DataFrame, per_language: int = 1200) -> LanguageMod
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs``: the columns ``keep``, lang_pred and score.
+def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row of ``docs``: the columns ``keep``, lang_pred and score, or what ``names`` calls these two.
 
     The text alone decides; a null or letterless text gets ``und`` and score 0, as does every text if nothing was there
     to learn from. Rows are mapped where they lie: no shuffle.
@@ -219,21 +221,21 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x buckets doubles: fixed by parameters
     kept = docs.select(*keep)
-    fields = [*pa_fields(kept), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
+    fields = [*pa_fields(kept), pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
     schema = pa.schema(fields)
-    ddl = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    ddl = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
-        names = scorer.model.languages
+        languages = scorer.model.languages
         for batch in batches:
             texts = texts_of(batch, "_text")
             for a, b in slices(texts):
-                if names:
+                if languages:
                     p, lettered = scorer.probabilities(texts[a:b])
                     top = p.argmax(1)
                     # a letterless chunk adds nothing; letters outside words can't be, so lettered is exact
-                    lang = [names[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
+                    lang = [languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
                     score = np.where(lettered, p[np.arange(len(top)), top], 0.0)
                 else:
                     lang, score = [UNKNOWN] * (b - a), np.zeros(b - a)
@@ -265,8 +267,8 @@ def accepted(docs: DataFrame, threshold: float = 0.4) -> DataFrame:
     """
     model = fit_language_model(docs)
     names = docs.columns
-    scored = predict_language(docs, model, tuple(names))
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= threshold)).select(*names)
+    scored = predict_language(docs, model, tuple(names), ("_lang_pred", "_score"))
+    return scored.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= threshold)).select(*names)
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
