@@ -6,9 +6,11 @@ from collections import deque
 from collections.abc import Callable
 from fractions import Fraction
 
+from ..formats.markup import write_bpmn, write_pnml, write_ptml
 from ..formats.text import FollowsModel
 from ..models.automata import Automaton
 from ..models.nets import Net, net_of_automaton, net_of_tree
+from ..models.powl import net_of_powl, powl_of_tree
 from ..models.trees import Tree
 
 
@@ -52,6 +54,11 @@ CONVERSIONS: dict[tuple[str, str], Callable] = {
     ("sptree", "snfa"): Tree.automaton,
     ("ptree", "dfa"): lambda x: x.automaton().determinise(),
     ("ptree", "lpn"): net_of_tree,
+    ("ptree", "powl"): powl_of_tree,
+    ("powl", "lpn"): net_of_powl,
+    ("lpn", "pnml"): write_pnml,
+    ("lpn", "bpmn"): write_bpmn,
+    ("ptree", "ptml"): write_ptml,
     ("sali", "ali"): lambda x: [(None, m) for _, m in x],
 }
 
