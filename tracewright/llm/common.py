@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
@@ -29,6 +35,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks, such as memos: one thing at a time.
+
+    Workers are used again by later stages; were each to leave its memo behind, their sum would have no bound.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,7 +63,7 @@ class WordMemo:
     memory: beyond that many words the memo starts afresh. It changes speed only, never ids.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self._encode_many, self._limit = encode_many, limit
         self._reset()
 

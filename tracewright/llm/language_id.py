@@ -11,6 +11,7 @@ rejection threshold is on that score.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import slices, texts_of, worker_state
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -78,7 +79,7 @@ class LanguageModel:
 class Scorer:
     """Scores texts with a model; remembers the words met, ``limit`` at most before it starts afresh."""
 
-    def __init__(self, model: LanguageModel, limit: int = 1_000_000):
+    def __init__(self, model: LanguageModel, limit: int = 500_000):
         self.model, self.limit = model, limit
         self._row: dict[str, int] = {}
         self._table = np.zeros((1024, len(model.languages) + 1))
@@ -220,13 +221,14 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x buckets doubles: fixed by parameters
+    tag = uuid.uuid4().hex
     kept = docs.select(*keep)
     fields = [*pa_fields(kept), pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
     schema = pa.schema(fields)
     ddl = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+        scorer = worker_state(("scorer", tag), lambda: Scorer(shared.value))
         languages = scorer.model.languages
         for batch in batches:
             texts = texts_of(batch, "_text")
@@ -245,15 +247,6 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predict, ddl)
 
 
-_LAST: list[Scorer] = []
-
-
-def _scorer(model: LanguageModel) -> Scorer:
-    if not _LAST or _LAST[0].model is not model:
-        _LAST[:] = [Scorer(model)]
-    return _LAST[0]
-
-
 def pa_fields(df: DataFrame) -> list[pa.Field]:
     from pyspark.sql.pandas.types import to_arrow_schema
 

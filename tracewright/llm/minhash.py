@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import materialise, texts_of, worker_state
 from .graph import components
 
 SHINGLE = 5
@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes of texts; remembers the hashes of the words met, ``limit`` at most before it starts afresh."""
 
-    def __init__(self, size: int = SHINGLE, limit: int = 1_000_000):
+    def __init__(self, size: int = SHINGLE, limit: int = 500_000):
         self.size, self.limit = size, limit
         self._hash: dict[bytes, int] = {}
 
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: in
     arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler = worker_state(("shingler", size), lambda: Shingler(size))
         for batch in batches:
             texts = texts_of(batch)
             for a in range(0, len(texts), 256):
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler = worker_state(("shingler", size), lambda: Shingler(size))
         for batch in batches:
             left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
             keep = []
@@ -168,7 +168,7 @@ def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int)
         names, counts = np.unique(root, return_counts=True)
         out: list[tuple[int, int]] = []
         if len(names) > 1:
-            shingler = Shingler(size)
+            shingler = worker_state(("shingler", size), lambda: Shingler(size))
             texts = ["" if t is None else t for t in table.column("text").to_pylist()]
             sets = [s for a in range(0, len(texts), 128) for s in shingler.sets(texts[a : a + 128])]
             n = np.array([len(s) for s in sets])

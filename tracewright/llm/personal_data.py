@@ -14,6 +14,7 @@ import functools
 import hashlib
 import random
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, worker_state
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("O", "name", "ssn", "secret")
@@ -226,7 +227,7 @@ def default_field() -> Field:
 class Tagger:
     """Labels lines; remembers the scores of the tokens met, ``limit`` at most before it starts afresh."""
 
-    def __init__(self, field: Field, limit: int = 1_000_000):
+    def __init__(self, field: Field, limit: int = 500_000):
         self.field, self.limit = field, limit
         self._reset()
 
@@ -349,15 +350,6 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_TAGGERS: list[Tagger] = []
-
-
-def _tagger(field: Field) -> Tagger:
-    if not _TAGGERS or _TAGGERS[0].field is not field:
-        _TAGGERS[:] = [Tagger(field)]
-    return _TAGGERS[0]
-
-
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
@@ -365,10 +357,11 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     counts by itself, also repeated ones; other columns are ignored. Rows are mapped where they lie: no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())  # some hundred features: fixed by the labelled table
+    tag = uuid.uuid4().hex
     arrow = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE], ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared.value)
+        tagger = worker_state(("tagger", tag), lambda: Tagger(shared.value))
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
@@ -388,10 +381,11 @@ def mask_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     from .language_id import pa_fields
 
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
+    tag = uuid.uuid4().hex
     names, fields = docs.columns, pa_fields(docs)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared.value)
+        tagger = worker_state(("tagger", tag), lambda: Tagger(shared.value))
         for batch in batches:
             given, texts = batch.column("text").to_pylist(), texts_of(batch)
             for a, b in slices(texts):

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WordMemo, slices, texts_of
+from .common import WordMemo, slices, texts_of, worker_state
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -202,13 +202,8 @@ class PieceCodec:
         return "".join(out)
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(path)
-    return _CODECS[path]
+    return worker_state(("codec", path), lambda: PieceCodec(path))
 
 
 def encode_documents(docs: DataFrame, model: str, digests: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, texts_of
+from .common import materialise, texts_of, worker_state
 from .minhash import _mix
 
 #: pairs on either side that a cut's hash must be below
@@ -52,7 +52,7 @@ def _cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
 class Units:
     """Cuts texts into units; remembers the hashes of the words met, ``limit`` at most before it starts afresh."""
 
-    def __init__(self, unit: str = "stretch", limit: int = 1_000_000):
+    def __init__(self, unit: str = "stretch", limit: int = 500_000):
         if unit not in ("line", "paragraph", "stretch"):
             raise ValueError(f"unit {unit!r}")
         self.unit, self.limit = unit, limit
@@ -105,7 +105,7 @@ def units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Units(unit)
+        own = worker_state(("units", unit), lambda: Units(unit))
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for a in range(0, len(texts), 256):
@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_
     both = kept.join(repeated_units(docs, unit), "doc_id", "left").select(*kept.columns, "_units")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Units(unit)
+        own = worker_state(("units", unit), lambda: Units(unit))
         for batch in batches:
             texts, removed = batch.column("text").to_pylist(), []
             for i, numbers in enumerate(batch.column("_units").to_pylist()):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, scratch, shuffle_partitions, slices, texts_of
+from .common import WordMemo, scratch, shuffle_partitions, slices, texts_of, worker_state
 
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNT = np.array([0, 60, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -170,13 +170,8 @@ class WordTokenizer:
         return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32), lengths
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return worker_state(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int | None = 2, block_ids: int = 65_536, parts: int | None = None) -> None:
