@@ -161,12 +161,25 @@ class Field:
     def token_rows(self, tokens: list[str]) -> np.ndarray:
         out = np.zeros((len(tokens), 3, len(LABELS)))
         get = self.index.get
+        plain: dict[tuple, np.ndarray] = {}
         for i, t in enumerate(tokens):
-            own = [k for f in features(t) if (k := get(f)) is not None]
-            out[i] = self.weights[own].sum(0)
+            if m := _PLAIN.fullmatch(t):  # such words differ in these three respects and in the word itself
+                key = (bool(m[1]), bool(_SMALL.search(m[2])), m[3])
+                if (row := plain.get(key)) is None:
+                    row = plain[key] = self.weights[[k for f in features(t) if not f.startswith("w=") and (k := get(f)) is not None]].sum(0)
+                out[i] = row
+                if (k := get(f"w={t.lower()[:24]}")) is not None:
+                    out[i] += self.weights[k]
+            else:
+                out[i] = self.weights[[k for f in features(t) if (k := get(f)) is not None]].sum(0)
         return out
 
 
+#: one capital at most, small letters, a full stop or comma at most
+_PLAIN = re.compile(r"([A-Z]?)([^\W\d_A-Z]+)([.,]?)")
+_SMALL = re.compile("[a-z]")
+
+
 def train_field(rows: list[tuple[int, int, str, str]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Field:
     """Maximum likelihood with AdaGrad, sentence by sentence."""
     sentences: dict[int, list[tuple[str, str]]] = {}

@@ -59,8 +59,8 @@ class PieceCodec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self._fits: dict[tuple[str | None, str], bool] = {}
-        self._parts = WordMemo(self._encode_parts)
-        self._words = WordMemo(self._encode_words)
+        self._parts = WordMemo(self._encode_parts, 300_000)
+        self._words = WordMemo(self._encode_words, 300_000)
         surface = {UNKNOWN: lambda p: trainer.unk_surface.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)]), NORMAL: lambda p: p.replace(SPACE, " ").encode()}
         self.surface = [surface[p.type](p.piece) for p in pieces]
         self.kind = np.array([p.type for p in pieces])
@@ -82,7 +82,7 @@ class PieceCodec:
         """Whether ``piece`` may follow ``before`` (None: may begin)."""
         key = (before, piece)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[key] = self.merged((before or "") + piece) == ([piece] if before is None else [before, piece])
         return known

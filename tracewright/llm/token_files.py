@@ -131,8 +131,8 @@ class WordTokenizer:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = iter(range(0x100, 0x200))
         self._byte = [chr(b) if b in keep else chr(next(other)) for b in range(256)]
-        self._parts = WordMemo(self._encode_parts)
-        self._words = WordMemo(self._encode_words)
+        self._parts = WordMemo(self._encode_parts, 1_000_000)
+        self._words = WordMemo(self._encode_words, 1_000_000)
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, byte = self.library.model.tokenize, self._byte
