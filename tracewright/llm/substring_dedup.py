@@ -30,7 +30,6 @@ MIN_WORDS = 25
 
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -56,9 +55,9 @@ class Units:
         if unit not in ("line", "paragraph", "stretch"):
             raise ValueError(f"unit {unit!r}")
         self.unit, self.limit = unit, limit
-        self._hash: dict[str, int] = {}
+        self._hash: dict[bytes, int] = {}
 
-    def _hashes(self, words: list[str]) -> np.ndarray:
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self._hash.get, words, repeat(None)))
         if None in found:
             if len(self._hash) > self.limit:
@@ -66,18 +65,22 @@ class Units:
             for i, h in enumerate(found):
                 if h is None:
                     w = words[i]
-                    found[i] = self._hash[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass").lower())
+                    found[i] = self._hash[w] = xxhash.xxh3_64_intdigest(w)
         return np.array(found, np.uint64)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends (code points), numbers of words and digests (n x 2 numbers) of the units of ``text``, none empty."""
         # words with their places; the digest of a unit is a polynomial over its words' hashes
-        spans = [m.span() for m in _WORD.finditer(text)]
-        if not spans:
+        words = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII rules: A-Z, and white space x09-x0D and x20
+        if not words:
             z = np.zeros(0, np.int64)
             return z, z, z, np.zeros((0, 2), np.int64)
-        at = np.array(spans, np.int64)
-        h = self._hashes(list(map(text.__getitem__, map(slice, *zip(*spans, strict=True)))))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = (codes != 32) & ((codes < 9) | (codes > 13))
+        edge = np.diff(inside)
+        at = np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], 1)
+        h = self._hashes(words)
         begins = np.zeros(len(at), bool)
         begins[0] = True
         lines = np.array([m.start() for m in (_PARAGRAPH if self.unit == "paragraph" else _LINE).finditer(text)], np.int64)
@@ -97,37 +100,40 @@ class Units:
         return at[starts, 0], at[starts + counts - 1, 1], counts, digest.view(np.int64)
 
 
-UNITS = "doc_id long, unit int, d0 long, d1 int"
+UNITS = "doc_id long, unit int, words int, d0 long, d1 int"
 
 
 def units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
-    """One row for each unit of ``docs`` (doc_id, text): doc_id, unit (from 0) and its digest d0, d1."""
-    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
+    """One row for each unit of ``docs`` (doc_id, text): doc_id, unit (from 0), words and its digest d0, d1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("words", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("units", unit), lambda: Units(unit))
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for a in range(0, len(texts), 256):
-                digests = [own.of(t)[3] for t in texts[a : a + 256]]
-                n = [len(d) for d in digests]
-                digest = np.concatenate(digests)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[a : a + 256], np.int64), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
+                found = [own.of(t)[2:] for t in texts[a : a + 256]]
+                n = [len(d) for _, d in found]
+                digest = np.concatenate([d for _, d in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[a : a + 256], np.int64), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate([w for w, _ in found]).astype(np.int32)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
 
     # rows without an id can't be ranked and are kept as they are
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(cut, UNITS)
 
 
-def repeated_units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
-    """For each document with units that an earlier place has: doc_id, units (their sorted numbers).
+def repeated_units(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_WORDS) -> DataFrame:
+    """For each document with a run of ``min_words`` words in units that an earlier place has: doc_id, _units (all such, sorted).
 
     Occurrences are grouped by digest with the least (doc_id, unit) per task before any shuffle, and only digests met more
     than once are joined back, in a join that Spark can split; so one line in a third of all rows costs no more than others.
     """
     cut = materialise(units(docs, unit), "units")
     first = cut.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "unit")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    again = cut.join(first, ["d0", "d1"]).where(F.struct("doc_id", "unit") > F.col("f")).select("doc_id", "unit")
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("_units"))
+    again = cut.join(first, ["d0", "d1"]).where(F.struct("doc_id", "unit") > F.col("f")).select("doc_id", "unit", "words").distinct()
+    own = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "words"))).alias("u"))
+    run = "IF(x.unit = acc.last + 1, acc.run, 0) + x.words"
+    longest = F.expr(f"aggregate(u, named_struct('last', -2, 'run', 0, 'best', 0), (acc, x) -> named_struct('last', x.unit, 'run', {run}, 'best', greatest(acc.best, {run})), acc -> acc.best)")
+    return own.where(longest >= min_words).select("doc_id", F.col("u.unit").alias("_units"))
 
 
 REMOVED = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")]))
@@ -146,7 +152,7 @@ def remove_repeats(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_
     fields = pa_fields(kept)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     schema = pa.schema([*fields, ("removed", spans_type)])
-    both = kept.join(repeated_units(docs, unit), "doc_id", "left").select(*kept.columns, "_units")
+    both = kept.join(repeated_units(docs, unit, min_words), "doc_id", "left").select(*kept.columns, "_units")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("units", unit), lambda: Units(unit))
