@@ -84,3 +84,32 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i][0] <= int(links[i].sum()) for i in range(len(x)))
     assert sum(got[i][0] for i in range(len(x))) >= 0.95 * links.sum()
     assert vector_passes.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("block", [None, 64])
+def test_vectors_of_dense_groups(spark, block):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    n, m = (20_000, 12_000) if block is None else (700, 2_000)  # several blocks each
+    near = np.r_[rng.standard_normal(64), 0] + np.c_[0.02 * rng.standard_normal((n, 64)), np.zeros(n)]
+    # all at a cosine of about 0.8 to each other, without links but for 300 planted pairs
+    dense = np.c_[unit(rng.standard_normal((m, 64))), np.full(m, 2.0)]
+    dense[:300, :64] = unit(dense[300:600, :64] + 0.02 * rng.standard_normal((300, 64)))
+    x = unit(np.concatenate([near, dense]))
+    count, partner = np.full(len(x), n - 1), np.arange(len(x))
+    partner[:n] = 0
+    y = x[n:]
+    for a in range(0, m, 1000):
+        hit = y[a : a + 1000] @ y.T >= 0.9
+        count[n + a : n + a + 1000] = hit.sum(1) - 1
+    assert not (x[:n:50] @ y.T >= 0.9).any() and (x[:n] @ x[0] >= 0.99).all()
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+    out = vector_passes.near_duplicate_vectors(df, **({} if block is None else {"block": block})).toPandas().sort_values("vec_id")
+    got = out.n_links.to_numpy()
+    assert (got <= count).all() and got[:n].sum() >= 0.999 * count[:n].sum() and got[n:].sum() >= 0.98 * count[n:].sum()
+    if block is None:
+        assert (got[:n] == n - 1).all()
+    assert (out.component_id.to_numpy()[:n] == 0).all()
+    assert (out.component_id.to_numpy()[n : n + 300] == out.component_id.to_numpy()[n + 300 : n + 600]).mean() >= 0.98
