@@ -222,6 +222,44 @@ def test_repeats(spark):
     assert {r.doc_id: r.text for r in lines.collect()} == {1: "a b\nc d\n", 2: "\nnew", 3: "c d e"}
 
 
+def plain_repeats(rows, least=25):
+    """Words that lie in ``least`` words, or a whole line of 8 or more, that an earlier place holds too."""
+    first, whole, out = {}, {}, {}
+    for doc, text in sorted((i, t or "") for i, t in rows):
+        lines = [x.lower().split() for x in text.split("\n")]
+        words, gone, at = [w for x in lines for w in x], set(), 0
+        for i in range(len(words) - least + 1):
+            d, j = first.setdefault(tuple(words[i : i + least]), (doc, i))
+            if d < doc or i >= j + least:
+                gone |= set(range(i, i + least))
+        for x in lines:
+            if 8 <= len(x) < least and whole.setdefault(tuple(x), (doc, at)) < (doc, at):
+                gone |= set(range(at, at + len(x)))
+            at += len(x)
+        out[doc] = [w for i, w in enumerate(words) if i not in gone]
+    return out
+
+
+def test_repeats_equal_all_windows(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    passages = [words(n) for n in (25, 26, 30, 51, 51, 53, 70)] + [["x"] * 60, ["p", "q"] * 30, words(24), words(9)]
+    passages += [passages[3][:28] + words(5), words(9) + passages[6][20:50]]
+    line, short = words(12), words(7)
+    rows = []
+    for i in range(150):
+        own = [w.upper() if rng.random() < 0.1 else w for w in rng.choice(passages)]
+        text = " ".join(words(rng.randrange(40)) + own[rng.choice([0, 0, 0, 3]) :] + words(rng.randrange(40)))
+        rows.append((i, "\n".join(rng.sample([text, " ".join(line), " ".join(short), " ".join(words(20))], 4))))
+    rows += [(200, "z " * 3000), (201, None), (202, ""), (203, " \n ")]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    want = plain_repeats(rows)
+    for i, text in rows:
+        assert (got[i].text or "").lower().split() == want[i], i
+        assert sum(s.words for s in got[i].removed) == len((text or "").split()) - len(want[i])
+
+
 # ---- language --------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,15 @@
-"""Substring deduplication by hashing units of text: of equal units the earliest stays, the others are removed.
-
-Units are lines, paragraphs, or (``stretch``) lines cut further where the words themselves say so: before a word pair
-whose hash is below those of the pairs around it. Such cuts depend on the nearby words alone, so a passage that repeats
-inside longer lines falls into the same units wherever it stands, but for a few words at its ends. Units are normalised
-(A-Z lower-cased, white space runs as one blank) and hashed to 96 bits. The digests are grouped over all documents; the
-earliest occurrence by (doc_id, unit number) stays. A run of neighbouring repeated units is removed if it has at least
-``min_words`` words, so that short phrases which everybody uses stay. Removed spans keep their original offsets.
+"""Substring deduplication: of equal stretches of text the earliest stays, the others are removed.
+
+Units are whole lines or paragraphs, or (``stretch``) all runs of ``min_words`` consecutive words wherever they stand: a
+word goes if it lies in such a run that also occurs at an earlier place, or in a whole line of LINE_WORDS words or more
+that does. Text is normalised (A-Z lower-cased, white space, line breaks too, runs as one blank); the earliest occurrence
+by (doc_id, word number) stays. Removed spans keep their original offsets.
+
+Runs aren't all hashed at once. Of the word groups of SEED words those are chosen whose hash is the least of the groups
+within some run; a run chooses the same ones wherever it stands, so runs that are equal have a chosen group in common.
+Only the runs around chosen groups that occur twice are hashed, to 96 bits, and grouped over all documents. Nothing is
+lost by that. Lines and paragraphs are hashed whole; neighbouring repeated units make a run, which is removed if it has at
+least ``min_words`` words.
 """
 
 from __future__ import annotations
@@ -24,34 +28,52 @@ from pyspark.sql import types as T
 from .common import materialise, texts_of, worker_state
 from .minhash import _mix
 
-#: pairs on either side that a cut's hash must be below
-REACH = 3
+#: words of a group that tells where runs may be equal
+SEED = 8
 MIN_WORDS = 25
+#: least words of a whole line that is removed for itself (``stretch``)
+LINE_WORDS = 8
 
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
 
 
-def _cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Whether a unit starts at each word of a line, the first one apart: its pair is below the ``reach`` pairs on both sides."""
-    n = len(hashes)
-    out = np.zeros(n, bool)
-    if n < 2 * reach + 2:
-        return out
-    pair = _mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    low = np.ones(n - 1 - 2 * reach, bool)
-    middle = pair[reach : n - 1 - reach]
-    for k in range(2 * reach + 1):
-        if k != reach:
-            low &= middle < pair[k : k + len(middle)]
-    out[reach : n - 1 - reach] = low
-    return out
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` or more."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        row = np.full(max(2 * n, 4096), base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        row[0] = 1
+        _POWERS[base] = np.multiply.accumulate(row)
+    return _POWERS[base]
+
+
+def _spans_digest(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray | int, k: int = 0) -> np.ndarray:
+    """A digest for each span of words, a polynomial over its words' hashes; ``k`` (0 or 1) picks one of two."""
+    n, base = len(hashes), _BASES[k]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(hashes ^ np.uint64(base)) * _powers(base, n)[:n], out=sums[1:])
+    return _mix((sums[starts + counts] - sums[starts]) * _powers(pow(base, -1, 1 << 64), n)[starts])
+
+
+def _seeds(hashes: np.ndarray, min_words: int) -> np.ndarray:
+    """Places of the groups whose hash is the least (of equals the last) of the groups in some run of ``min_words`` words."""
+    size = min(SEED, min_words)
+    width, n = min_words - size + 1, len(hashes) - size + 1
+    if n < width:
+        return np.zeros(0, np.int64)
+    group = _spans_digest(hashes, np.arange(n), size)
+    view = np.lib.stride_tricks.sliding_window_view(group[::-1], width)
+    return np.unique(n - 1 - np.arange(len(view)) - view.argmin(1))
 
 
 class Units:
     """Cuts texts into units; remembers the hashes of the words met, ``limit`` at most before it starts afresh."""
 
-    def __init__(self, unit: str = "stretch", limit: int = 500_000):
+    def __init__(self, unit: str, limit: int = 500_000):
         if unit not in ("line", "paragraph", "stretch"):
             raise ValueError(f"unit {unit!r}")
         self.unit, self.limit = unit, limit
@@ -68,42 +90,69 @@ class Units:
                     found[i] = self._hash[w] = xxhash.xxh3_64_intdigest(w)
         return np.array(found, np.uint64)
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends (code points), numbers of words and digests (n x 2 numbers) of the units of ``text``, none empty."""
-        # words with their places; the digest of a unit is a polynomial over its words' hashes
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII rules: A-Z, and white space x09-x0D and x20
-        if not words:
-            z = np.zeros(0, np.int64)
-            return z, z, z, np.zeros((0, 2), np.int64)
+    def hashes(self, text: str) -> np.ndarray:
+        """The hash of each word; ASCII rules: A-Z, and white space x09-x0D and x20."""
+        return self._hashes(text.encode("utf-8", "surrogatepass").lower().split())
+
+    @staticmethod
+    def places(text: str) -> np.ndarray:
+        """Start and end (code points) of each word (n x 2)."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         inside = np.zeros(len(codes) + 2, np.int8)
         inside[1:-1] = (codes != 32) & ((codes < 9) | (codes > 13))
         edge = np.diff(inside)
-        at = np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], 1)
-        h = self._hashes(words)
+        return np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], 1)
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends (code points), numbers of words and digests (n x 2 numbers) of the units of ``text``, none empty."""
+        h = self.hashes(text)
+        if not len(h):
+            z = np.zeros(0, np.int64)
+            return z, z, z, np.zeros((0, 2), np.int64)
+        at = self.places(text)
         begins = np.zeros(len(at), bool)
         begins[0] = True
-        lines = np.array([m.start() for m in (_PARAGRAPH if self.unit == "paragraph" else _LINE).finditer(text)], np.int64)
-        first = np.searchsorted(at[:, 0], lines)
+        units = np.array([m.start() for m in (_PARAGRAPH if self.unit == "paragraph" else _LINE).finditer(text)], np.int64)
+        first = np.searchsorted(at[:, 0], units)
         begins[first[first < len(at)]] = True
-        if self.unit == "stretch":
-            edges = np.append(np.flatnonzero(begins), len(at))
-            for a, b in zip(edges, edges[1:], strict=False):
-                begins[a:b] |= _cuts(h[a:b])
         starts = np.flatnonzero(begins)
         counts = np.diff(np.append(starts, len(at)))
-        place = (np.arange(len(at)) - np.repeat(starts, counts)).astype(np.uint64)
-        digest = np.empty((len(starts), 2), np.uint64)
-        for k in range(2):
-            mixed = _mix(h ^ _mix(place * np.uint64(2) + np.uint64(k) + np.uint64(1)))
-            digest[:, k] = _mix(np.add.reduceat(mixed, starts) + counts.astype(np.uint64))
+        digest = np.stack([_spans_digest(h, starts, counts, k) for k in range(2)], 1)
         return at[starts, 0], at[starts + counts - 1, 1], counts, digest.view(np.int64)
 
+    def marks(self, text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, numbers of words (0: a chosen group) and digests of chosen groups and of whole lines of ``text``.
+
+        Lines of ``min_words`` words or more aren't listed, as they are runs or made of runs.
+        """
+        words = [x for x in (line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")) if x]
+        h = self._hashes([w for line in words for w in line])
+        counts = np.array([len(line) for line in words], np.int64)
+        starts = np.cumsum(counts) - counts
+        whole = (counts >= LINE_WORDS) & (counts < min_words)
+        starts, counts, seeds = starts[whole], counts[whole], _seeds(h, min_words)
+        lines = _mix(_spans_digest(h, starts, counts) + counts.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+        groups = _spans_digest(h, seeds, min(SEED, min_words)) if len(seeds) else np.zeros(0, np.uint64)
+        return np.concatenate([seeds, starts]), np.concatenate([np.zeros(len(seeds), np.int64), counts]), np.concatenate([groups, lines]).view(np.int64)
+
+    def runs(self, text: str, seeds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and digests (n x 2 numbers) of the runs of ``text`` that hold one of the groups at ``seeds``."""
+        h = self.hashes(text)
+        n, size = len(h) - min_words + 1, min(SEED, min_words)
+        seeds = seeds[seeds + size <= len(h)]  # another row of the same doc_id, with a shorter text
+        if n < 1 or not len(seeds):
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        near = np.zeros(len(h) + 2, np.int64)
+        np.add.at(near, np.maximum(seeds - (min_words - size), 0), 1)
+        np.add.at(near, seeds + 1, -1)
+        at = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        return at, np.stack([_spans_digest(h, at, min_words, k) for k in range(2)], 1).view(np.int64)
+
 
 UNITS = "doc_id long, unit int, words int, d0 long, d1 int"
 
 
-def units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
+def units(docs: DataFrame, unit: str) -> DataFrame:
     """One row for each unit of ``docs`` (doc_id, text): doc_id, unit (from 0), words and its digest d0, d1."""
     schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("words", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
 
@@ -121,7 +170,7 @@ def units(docs: DataFrame, unit: str = "stretch") -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(cut, UNITS)
 
 
-def repeated_units(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str, min_words: int = MIN_WORDS) -> DataFrame:
     """For each document with a run of ``min_words`` words in units that an earlier place has: doc_id, _units (all such, sorted).
 
     Occurrences are grouped by digest with the least (doc_id, unit) per task before any shuffle, and only digests met more
@@ -136,15 +185,82 @@ def repeated_units(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_
     return own.where(longest >= min_words).select("doc_id", F.col("u.unit").alias("_units"))
 
 
+def _marks(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row for each chosen group (words 0) and whole line of ``docs``: doc_id, at, words, digest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.int32()), ("digest", pa.int64())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = worker_state(("units", "stretch"), lambda: Units("stretch"))
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
+            for a in range(0, len(texts), 256):
+                at, words, digest = zip(*[own.marks(t, min_words) for t in texts[a : a + 256]], strict=True)
+                doc = np.repeat(np.array(ids[a : a + 256], np.int64), [len(x) for x in at])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(words).astype(np.int32)), pa.array(np.concatenate(digest))], schema=schema)
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(mark, "doc_id long, at int, words int, digest long")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """For each document with runs of ``min_words`` words or whole lines that an earlier place has: doc_id, _units (at, words)."""
+    marks = materialise(_marks(docs, min_words), "marks")
+    first = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
+    again = materialise(marks.join(first, "digest").where(F.expr("words = 0 OR struct(doc_id, at) > f")).select("doc_id", "at", "words"), "again")
+    seeds = again.where("words = 0").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("d0", pa.int64()), ("d1", pa.int32())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = worker_state(("units", "stretch"), lambda: Units("stretch"))
+        for batch in batches:
+            ids, texts, seeds = batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("seeds")
+            for a in range(0, len(texts), 256):
+                found = [own.runs(t, seeds[a + i].values.to_numpy().astype(np.int64), min_words) for i, t in enumerate(texts[a : a + 256])]
+                doc = np.repeat(np.array(ids[a : a + 256], np.int64), [len(x) for x, _ in found])
+                digest = np.concatenate([d for _, d in found])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([x for x, _ in found]).astype(np.int32)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
+
+    runs = materialise(docs.select("doc_id", "text").join(seeds, "doc_id").mapInArrow(emit, "doc_id long, at int, d0 long, d1 int"), "runs")
+    earliest = runs.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    # a run that overlaps its own first occurrence would take words from that
+    later = runs.join(earliest, ["d0", "d1"]).where(F.expr(f"doc_id > f.doc_id OR at >= f.at + {min_words}")).select("doc_id", "at", F.lit(min_words).alias("words"))
+    return later.union(again.where("words > 0")).groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("_units"))
+
+
+def _unit_spans(own: Units, text: str, units_: pa.Scalar, min_words: int) -> list[dict]:
+    spans: list[dict] = []
+    starts, ends, words, _ = own.of(text)
+    last = -2
+    for k in units_.as_py():
+        if k >= len(starts):
+            break  # another row of the same doc_id, with a shorter text
+        if k == last + 1:
+            spans[-1]["end"] = int(ends[k])
+            spans[-1]["words"] += int(words[k])
+        else:
+            spans.append({"start": int(starts[k]), "end": int(ends[k]), "words": int(words[k])})
+        last = k
+    return [s for s in spans if s["words"] >= min_words]
+
+
+def _run_spans(own: Units, text: str, units_: pa.Scalar, min_words: int) -> list[dict]:
+    places = own.places(text)
+    at, words = (units_.values.field(k).to_numpy().astype(np.int64) for k in range(2))
+    good = at + words <= len(places)  # else another row of the same doc_id
+    covered = np.zeros(len(places) + 2, np.int64)
+    np.add.at(covered, at[good] + 1, 1)
+    np.add.at(covered, (at + words)[good] + 1, -1)
+    edge = np.diff((np.cumsum(covered) > 0).astype(np.int8))
+    return [{"start": int(places[a, 0]), "end": int(places[b - 1, 1]), "words": int(b - a)} for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
+
+
 REMOVED = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")]))
 
 
 def remove_repeats(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut from ``text`` and a column ``removed`` of the spans (offsets in the old text).
+    """``docs`` with repeated text cut from ``text`` and a column ``removed`` of the spans (offsets in the old text).
 
-    Neighbouring repeated units make a run; runs of fewer than ``min_words`` words stay. All rows and columns stay; null
-    and empty texts have no units; an empty table gives an empty table. Rows that share a doc_id share its units: of equal
-    units at the same place each stays.
+    ``unit`` is line, paragraph or stretch. All rows and columns stay; null and empty texts have no units; an empty table
+    gives an empty table. Rows that share a doc_id share its units: of equal units at the same place each stays.
     """
     from .language_id import pa_fields
 
@@ -152,27 +268,15 @@ def remove_repeats(docs: DataFrame, unit: str = "stretch", min_words: int = MIN_
     fields = pa_fields(kept)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     schema = pa.schema([*fields, ("removed", spans_type)])
-    both = kept.join(repeated_units(docs, unit, min_words), "doc_id", "left").select(*kept.columns, "_units")
+    repeated, spans_of = (repeated_runs(docs, min_words), _run_spans) if unit == "stretch" else (repeated_units(docs, unit, min_words), _unit_spans)
+    both = kept.join(repeated, "doc_id", "left").select(*kept.columns, "_units")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("units", unit), lambda: Units(unit))
         for batch in batches:
             texts, removed = batch.column("text").to_pylist(), []
-            for i, numbers in enumerate(batch.column("_units").to_pylist()):
-                spans: list[dict] = []
-                if numbers and texts[i]:
-                    starts, ends, words, _ = own.of(texts[i])
-                    last = -2
-                    for k in numbers:
-                        if k >= len(starts):
-                            break  # another row of the same doc_id, with a shorter text
-                        if k == last + 1:
-                            spans[-1]["end"] = int(ends[k])
-                            spans[-1]["words"] += int(words[k])
-                        else:
-                            spans.append({"start": int(starts[k]), "end": int(ends[k]), "words": int(words[k])})
-                        last = k
-                    spans = [s for s in spans if s["words"] >= min_words]
+            for i, numbers in enumerate(batch.column("_units")):
+                spans = spans_of(own, texts[i], numbers, min_words) if numbers.is_valid and texts[i] else []
                 if spans:
                     edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(texts[i])]
                     texts[i] = "".join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
