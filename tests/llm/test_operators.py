@@ -195,6 +195,21 @@ def test_contamination(spark, most):
         assert decontamination.contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_contaminated_rows_are_judged_one_by_one(spark, most):
+    long = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, long), (2, "short one")], "item_id long, text string")
+    rows = [(None, f"x {long}"), (None, "clean"), (7, f"x {long.upper()}, y"), (7, "clean too"), (8, "a short, ONE short one"), (9, None), (10, "")]
+    d = docs_of(spark, rows)
+    key = lambda r: (str(r[0]), str(r[1]))
+    clean = [r for i, r in enumerate(rows) if i not in (0, 2, 4)]
+    dropped = decontamination.drop_contaminated(d, bench, most)
+    assert dropped.columns == d.columns and sorted(((r.doc_id, r.text) for r in dropped.collect()), key=key) == sorted(clean, key=key)
+    cut = decontamination.cut_contaminated(d, bench, most)
+    assert cut.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=key) == sorted([*clean, (None, "x "), (7, "x y"), (8, "a ")], key=key)
+
+
 # ---- substring deduplication -----------------------------------------------------------------------------------------------------
 
 

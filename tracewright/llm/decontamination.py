@@ -14,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW = 10
 MAX_WINDOWS = 50_000
 #: a word, once A-Z are lower-cased
@@ -90,33 +92,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
     return grouped.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"))
 
 
-def _verified(docs: DataFrame, benchmark: DataFrame, max_windows: int) -> tuple[DataFrame, bool]:
-    """``docs`` with ``_places``, the windows (at, size) whose texts are the benchmark's, found row by row."""
+def _verified(docs: DataFrame, benchmark: DataFrame, max_windows: int) -> DataFrame:
+    """``docs`` with ``_row`` and ``_places``, the windows (at, size) whose texts are the benchmark's, found row by row.
+
+    Beyond ``max_windows`` the rows are written once with their numbers, and the places found by the join come back by number.
+    """
     names = docs.columns
-    rows, listed = _candidates(docs, benchmark_windows(benchmark), names, max_windows)
-    if listed is None:
-        return rows, False
-    test = "c.window IN (" + ", ".join(f"'{w}'" for w in listed) + ")" if listed else "false"
-    return rows.select(*names, "_row", F.expr(f"transform(filter(found, c -> {test}), c -> named_struct('at', c.at, 'size', c.size))").alias("_places")), True
+    windows = benchmark_windows(benchmark)
+    rows, listed = _candidates(docs, windows, names, max_windows)
+    if listed is not None:
+        test = "c.window IN (" + ", ".join(f"'{w}'" for w in listed) + ")" if listed else "false"
+        return rows.select(*names, "_row", F.expr(f"transform(filter(found, c -> {test}), c -> named_struct('at', c.at, 'size', c.size))").alias("_places"))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, _ = _candidates(numbered.withColumnRenamed("_row", "_number"), windows, ["_number"], max_windows)
+    # the second row number goes along so that the words aren't computed anew for each window
+    exploded = rows.select("_number", "_row", F.explode_outer("found").alias("c")).select("_number", "_row", "c.at", "c.size", "c.window")
+    hits = exploded.join(windows.select("window").distinct(), "window", "left_semi")
+    places = hits.groupBy("_number", "_row").agg(F.collect_set(F.struct("at", "size")).alias("_places")).select(F.col("_number").alias("_row"), "_places")
+    none = F.expr("CAST(array() AS array<struct<at:int,size:int>>)")
+    return numbered.join(places, "_row", "left").select(*names, "_row", F.coalesce("_places", none).alias("_places"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept; no shuffle while the benchmark fits."""
-    names = docs.columns
-    rows, in_place = _verified(docs, benchmark, max_windows)
-    if in_place:
-        # the row number in the condition keeps the words from being computed anew for each window
-        return rows.where("size(_places) = 0 AND _row >= 0").select(*names)
-    bad = contamination(docs, benchmark, max_windows).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*names)
+    # the row number in the condition keeps the words from being computed anew for each window
+    return _verified(docs, benchmark, max_windows).where("size(_places) = 0 AND _row >= 0").select(*docs.columns)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with every word that lies in a benchmark window cut from ``text``, and what follows it up to the next word."""
     names = docs.columns
-    rows, in_place = _verified(docs, benchmark, max_windows)
-    if not in_place:
-        raise ValueError(f"the benchmark has more than {max_windows} windows: drop documents instead, or raise the bound")
+    rows = _verified(docs, benchmark, max_windows)
     letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
     cut = F.expr("array_join(filter(_pieces, (p, i) -> NOT exists(_places, h -> i + 1 - _skip >= h.at AND i + 1 - _skip < h.at + h.size)), '')")
