@@ -156,6 +156,20 @@ def test_archives(spark, tmp_path):
     assert own[2].response.payload_digest == warc.payload_digest(b"<p>x</p>")
 
 
+def test_archives_keep_pages_that_share_an_id(spark, tmp_path):
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "u", "two"), (2, "v", "two"), (None, "u", "one"), (None, "u", "three"), (None, "v", "three"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    captures = warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert all(c.request and c.response and c.metadata for c in captures)
+    two = warc.payload_digest(b"two")
+    told = sorted((c.response.target_uri, c.response.payload_digest, c.response.record_type) for c in captures)
+    want = {(i, u or "", warc.payload_digest((h or "").encode()), "revisit" if (i, h) == (1, "two") else "response") for i, u, h in rows}
+    assert told == sorted(x[1:] for x in want) and len(captures) == 7
+    by = {c.capture_id: c.response for c in captures}
+    assert [by[r.refers_to].target_uri for r in by.values() if r.record_type == "revisit"] == ["v"] and f"<urn:capture:response:{two}:2>" in by
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------------------
 
 

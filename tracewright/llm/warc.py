@@ -25,8 +25,10 @@ DATE = "2020-01-01T00:00:00Z"
 FILE_CHARS = 16_000_000
 
 
-def _uri(kind: str, page_id: int) -> str:
-    return f"<urn:capture:{kind}:{page_id}>"
+def _uri(kind: str, digest: str, page_id: int | None, url: str = "") -> str:
+    """A record's identifier: of the payload's digest and the page_id, or a mark of the url where there is none."""
+    page = f"none-{payload_digest(url.encode('utf-8', 'surrogatepass'))}" if page_id is None else page_id
+    return f"<urn:capture:{kind}:{digest}:{page}>"
 
 
 def _record(headers: list[tuple[str, str]], block: str) -> str:
@@ -40,17 +42,17 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def capture_records(page_id: int, url: str, html: str, refers_to: int | None) -> list[str]:
+def capture_records(page_id: int | None, url: str, html: str, refers_to: int | None) -> list[str]:
     """Request, response or revisit, and metadata record of a capture."""
     digest = payload_digest(html.encode())
     main = "revisit" if refers_to is not None else "response"
-    own = _uri("response", page_id)
+    own = _uri("response", digest, page_id, url)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", url)]
     head = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}{END}"
-    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _uri("request", page_id)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], f"GET / HTTP/1.1{END}{END}")
-    more = [("WARC-Refers-To", _uri("response", refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if refers_to is not None else []
+    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _uri("request", digest, page_id, url)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], f"GET / HTTP/1.1{END}{END}")
+    more = [("WARC-Refers-To", _uri("response", digest, refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if refers_to is not None else []
     response = _record([("WARC-Type", main), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), *more, ("Content-Type", "application/http;msgtype=response")], head + ("" if refers_to is not None else html))
-    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uri("metadata", page_id)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page_id: {page_id}{END}payload_bytes: {len(html.encode())}{END}")
+    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uri("metadata", digest, page_id, url)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page_id: {page_id}{END}payload_bytes: {len(html.encode())}{END}")
     return [request, response, metadata]
 
 
@@ -70,8 +72,8 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, target: str, least_bytes: int = 0) -> None:
     """Write the captures of ``pages`` (page_id, url, html) as gzipped WARC files below ``target``.
 
-    Null html and url are empty. Rows that share a page_id and a payload are one capture. Only revisits' numbers are
-    joined; where they are few, Spark broadcasts them and no page is shuffled.
+    Null html and url are empty. Rows that share a page_id and a payload are one capture, as are rows without a page_id
+    that share url and payload; all others come back as captures of their own. Only revisits' numbers are joined; where they are few, Spark broadcasts them and no page is shuffled.
     """
     html = F.coalesce("html", F.lit(""))
     revisits = decide(pages, least_bytes).where("refers_to IS NOT NULL").select("page_id", "digest", "refers_to").distinct()
