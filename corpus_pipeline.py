@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal", personal), ("tokens", tokens)]
 
-#: A trained classifier and the tokenizer can't be put in SQL; tests compare each stage with a plain version.
+#: A trained classifier and the tokenizer can't be put in SQL; tests cover the operators, but neither the stages nor run().
 ORACLE_SQL: str | None = None
 
 
