@@ -306,3 +306,15 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == x for i, x in held]) > 0.95
     assert {r.doc_id for r in language_id.accepted(df).collect()} >= {i for i, _, _ in rows} - {i for i, _, _ in rows if got[i].score < 0.4}
     assert all(r.lang_pred == "und" for r in language_id.predict_language(df, language_id.fit_language_model(df.limit(0))).collect())
+
+
+def test_language_is_learnt_behind_a_long_header(spark):
+    rng = random.Random(9)
+    say = lambda x, n: " ".join("".join(rng.choice(x) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    syllables, header = {"en": "th er on an re he".split(), "de": "en ch ei sch ung ge".split()}, "LICENCE " * 400
+    rows = [(i, header + say(syllables[x], 1500), x) for i in range(80) for x in [("en", "de")[i % 2]]]
+    df = spark.createDataFrame(rows + [(90, None, "en"), (91, "", "de")], "doc_id long, text string, lang string")
+    cut = {r.doc_id: r.text for r in df.select("doc_id", language_id.stretches(3000).alias("text")).collect()}
+    assert cut[90] is None and cut[91] == "" and all(len(cut[i]) <= 3000 and all(x in t for x in cut[i].split("\n")) for i, t, _ in rows)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_language(df, language_id.fit_language_model(df)).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows]) > 0.95

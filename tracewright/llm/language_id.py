@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,11 +126,10 @@ class Scorer:
         return self._table[rows]
 
 
-def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: float = 0.4, seed: int = 7, chars: int = 3000) -> LanguageModel:
+def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: float = 0.4, seed: int = 7) -> LanguageModel:
     """Fit embeddings and class matrix by SGD, then the temperature on every fifth text, which training doesn't see.
 
     The texts are gone through as often as ``updates`` steps take, six times at least, so small tables train as long.
-    ``chars`` bounds the part of a training text that is used; prediction always reads whole texts.
     """
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -138,7 +137,7 @@ def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: floa
     of = {x: i for i, x in enumerate(languages)}
     bags, y = [], []
     for text, label in zip(texts, labels, strict=True):
-        own, _ = subwords(_WORD.findall(text[:chars].lower()))
+        own, _ = subwords(_WORD.findall(text.lower()))
         if len(own):
             bags.append(own)
             y.append(of[label])
@@ -174,7 +173,7 @@ def train(texts: list[str], labels: list[str], updates: int = 18_000, rate: floa
     # temperature: the one of a grid with the least log loss on the texts kept out, in short stretches
     logits, truth = [], []
     for i in np.flatnonzero(held) if held.any() else fit:
-        for begin in range(0, min(len(bags[i]), 800), 200):
+        for begin in np.linspace(0, max(0, len(bags[i]) - 200), min(4, -(-len(bags[i]) // 200))).astype(int).tolist():
             stretch = bags[i][begin : begin + 200]
             logits.append(table[stretch].mean(0) + bias)
             truth.append(y[i])
@@ -207,9 +206,19 @@ def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
-    """Train on a bounded sample of labelled rows (``per_language`` of each language)."""
-    rows = sorted(training_rows(docs, per_language).select("doc_id", F.substring("text", 1, 3000).alias("text"), "lang").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+def stretches(chars: int) -> Column:
+    """``text``, or where it is longer than ``chars`` a stretch from each third of it, at a place hashed from doc_id."""
+    size = chars // 3 - 1
+    each = f"substring(text, CAST(1 + k * (length(text) div 3) + pmod(xxhash64(doc_id, k), greatest(length(text) div 3 - {size}, 0) + 1) AS int), {size})"
+    return F.expr(f"IF(length(text) > {chars}, array_join(transform(array(0, 1, 2), k -> {each}), '\n'), text)")
+
+
+def fit_language_model(docs: DataFrame, per_language: int = 1200, chars: int = 3000) -> LanguageModel:
+    """Train on a bounded sample of labelled rows (``per_language`` of each language, ``chars`` characters of each text).
+
+    Prediction always reads whole texts.
+    """
+    rows = sorted(training_rows(docs, per_language).select("doc_id", stretches(chars).alias("text"), "lang").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
