@@ -10,7 +10,7 @@ from tracewright.llm.graph import components
 def brute(rows):
     sets = {}
     for i, text in rows:
-        words = minhash.Shingler().words(text or "")
+        words = minhash.words_of(text or "")
         k = min(5, len(words))
         sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()
     parent = {i: i for i in sets}

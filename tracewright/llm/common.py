@@ -12,7 +12,9 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 T = TypeVar("T")
 
@@ -20,65 +22,126 @@ T = TypeVar("T")
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (tests on one machine) the warehouse folder is used instead.
+    Where that setting is absent, a run on one machine (tests) uses its warehouse folder; on a cluster that's an error, as
+    the warehouse may be a folder that other machines don't see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/tracewright/{name}-{uuid.uuid4().hex}"
 
 
+#: with it, Spark removes a query's shuffle files once the query has ended
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into a scratch folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into a scratch folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    The shuffles before the table aren't needed any more then, so their files go.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`materialise` that nothing reads any more: all that came from them is written itself."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "scratch_path", None)):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 _STATE: dict = {}
 
 
-def worker_state(key: object, make: Callable[[], T]) -> T:
-    """What a Python worker keeps between tasks, such as memos: one thing at a time.
+@contextlib.contextmanager
+def task_state(key: object, make: Callable[[], T]) -> Iterator[T]:
+    """What a Python worker uses in a task and keeps for the next one of the same kind: one thing at a time.
 
-    Workers are used again by later stages; were each to leave its memo behind, their sum would have no bound.
+    At the end of each task its ``forget`` method, if it has one, is called, and the memory goes back to the system: workers
+    wait between tasks and are used again by other stages, so what each kept for itself would add up without a bound.
     """
     if key not in _STATE:
         _STATE.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
         _STATE[key] = make()
-    return _STATE[key]
+    try:
+        yield _STATE[key]
+    finally:
+        if (forget := getattr(_STATE.get(key), "forget", None)) is not None:
+            forget()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: bytes of a batch of rows between Spark and Python
+BATCH_BYTES = 4_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small from now on in this session, unless they're set smaller already.
+
+    By default 10,000 rows or 64 MB go to a worker at once, held several times over on both sides. A row larger than the
+    bound makes a batch of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key, "64m").lower().rstrip("b").replace("m", "000000").replace("k", "000")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pa_fields(df: DataFrame) -> list[pa.Field]:
+    """The Arrow fields of ``df``."""
+    return list(to_arrow_schema(df.schema))
+
+
 class WordMemo:
-    """Remembers the ids of words seen so far, so that each worker encodes a distinct word once.
+    """Remembers the ids of words seen so far in a task, so that a distinct word is encoded once.
 
     ``encode_many`` turns a list of distinct words into (all ids in a row, count of each word). ``limit`` bounds the
-    memory: beyond that many words the memo starts afresh. It changes speed only, never ids.
+    memory: beyond about that many bytes the memo starts afresh. It changes speed only, never ids.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 48_000_000):
         self._encode_many, self._limit = encode_many, limit
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self._row: dict[str, int] = {}
-        self._flat, self._ends, self._used = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
+        self._flat, self._ends, self._used, self._bytes = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0, 0
 
     def rows(self, words: list[str]) -> np.ndarray:
         rows = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             new = list({words[i] for i in missing.tolist()})
-            if len(self._row) + len(new) > self._limit and self._row:
-                self._reset()
+            size = memo_bytes(new)
+            if self._bytes + size > self._limit and self._row:
+                self.forget()
                 return self.rows(words)
+            self._bytes += size
             ids, counts = self._encode_many(new)
             n, begin = len(self._row), self._used
             self._used += len(ids)
@@ -101,7 +164,17 @@ class WordMemo:
         return self._flat[shift + np.arange(len(shift))], counts
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def memo_bytes(words: list[str]) -> int:
+    """About what a dictionary with ``words`` as keys takes."""
+    return 130 * len(words) + 2 * sum(map(len, words))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash for each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``chars`` characters (one text at least), to bound the memory of a batch."""
     begin, size = 0, 0
     for i, text in enumerate(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     A hub's edges are aggregated before they are shuffled, and the joins are such that Spark can split a hub's partition.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels = last = None
     turn = 0
     while not edges.isEmpty():
         key = F.col("w") if turn < 3 else F.xxhash64("w", F.lit(turn))
@@ -27,9 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         moves = materialise(both.select("v", F.when(F.col("m.key") < own, F.col("m.w")).otherwise(F.col("v")).alias("p")), "moves")
         left, right = moves.select(F.col("v").alias("a"), F.col("p").alias("pa")), moves.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         labels = moves.select("v", F.col("p").alias("root")) if labels is None else labels.join(moves.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
-        labels = materialise(labels, "labels")
+        before, labels = last, materialise(labels, "labels")
+        last = labels
         moved = edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = materialise(moved.distinct(), "edges")
+        spent, edges = edges, materialise(moved.distinct(), "edges")
+        discard(before, moves, spent)
         turn += 1
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))

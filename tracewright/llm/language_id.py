@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of, worker_state
+from .common import bound_batches, memo_bytes, pa_fields, slices, task_state, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -77,12 +77,15 @@ class LanguageModel:
 
 
 class Scorer:
-    """Scores texts with a model; remembers the words met, ``limit`` at most before it starts afresh."""
+    """Scores texts with a model; remembers the words met in a task, in about ``limit`` bytes before it starts afresh."""
 
-    def __init__(self, model: LanguageModel, limit: int = 500_000):
+    def __init__(self, model: LanguageModel, limit: int = 64_000_000):
         self.model, self.limit = model, limit
+        self.forget()
+
+    def forget(self) -> None:
         self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, len(model.languages) + 1))
+        self._table, self._bytes = np.zeros((1024, len(self.model.languages) + 1)), 0
 
     def _rows(self, words: list[str]) -> np.ndarray:
         get = self._row.get
@@ -90,9 +93,11 @@ class Scorer:
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             new = list({words[i] for i in missing.tolist()})
-            if len(self._row) + len(new) > self.limit and self._row:
-                self._row = {}
+            size = memo_bytes(new)
+            if self._bytes + size > self.limit and self._row:
+                self.forget()
                 return self._rows(words)
+            self._bytes += size
             n = len(self._row)
             while n + len(new) > len(self._table):
                 self._table = np.concatenate([self._table, np.zeros_like(self._table)])
@@ -229,6 +234,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     to learn from. Rows are mapped where they lie: no shuffle.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x buckets doubles: fixed by parameters
     tag = uuid.uuid4().hex
     kept = docs.select(*keep)
@@ -237,31 +243,25 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     ddl = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_state(("scorer", tag), lambda: Scorer(shared.value))
-        languages = scorer.model.languages
-        for batch in batches:
-            texts = texts_of(batch, "_text")
-            for a, b in slices(texts):
-                if languages:
-                    p, lettered = scorer.probabilities(texts[a:b])
-                    top = p.argmax(1)
-                    # a letterless chunk adds nothing; letters outside words can't be, so lettered is exact
-                    lang = [languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
-                    score = np.where(lettered, p[np.arange(len(top)), top], 0.0)
-                else:
-                    lang, score = [UNKNOWN] * (b - a), np.zeros(b - a)
-                rest = [batch.column(f.name).slice(a, b - a).cast(f.type) for f in fields[:-2]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
+        with task_state(("scorer", tag), lambda: Scorer(shared.value)) as scorer:
+            languages = scorer.model.languages
+            for batch in batches:
+                texts = texts_of(batch, "_text")
+                for a, b in slices(texts):
+                    if languages:
+                        p, lettered = scorer.probabilities(texts[a:b])
+                        top = p.argmax(1)
+                        # a letterless chunk adds nothing; letters outside words can't be, so lettered is exact
+                        lang = [languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
+                        score = np.where(lettered, p[np.arange(len(top)), top], 0.0)
+                    else:
+                        lang, score = [UNKNOWN] * (b - a), np.zeros(b - a)
+                    rest = [batch.column(f.name).slice(a, b - a).cast(f.type) for f in fields[:-2]]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predict, ddl)
 
 
-def pa_fields(df: DataFrame) -> list[pa.Field]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return list(to_arrow_schema(df.schema))
-
-
 def accepted(docs: DataFrame, threshold: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose predicted language has a calibrated score of at least ``threshold``, all columns kept.
 

@@ -14,7 +14,6 @@ bucket goes unchecked unless it is in one component already, and no pairs are li
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of, worker_state
+from .common import bound_batches, discard, materialise, slices, texts_of, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -41,46 +40,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Distinct shingle hashes of texts; remembers the hashes of the words met, ``limit`` at most before it starts afresh."""
-
-    def __init__(self, size: int = SHINGLE, limit: int = 500_000):
-        self.size, self.limit = size, limit
-        self._hash: dict[bytes, int] = {}
-
-    def words(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").lower().split()  # ASCII rules: A-Z, and white space x09-x0D and x20
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self._hash.get, words, repeat(None)))
-        if None in found:
-            if len(self._hash) > self.limit:
-                self._hash.clear()
-            known, digest = self._hash, xxhash.xxh3_64_intdigest
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    found[i] = known[w] = digest(w)
-        return np.array(found, np.uint64)
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the sorted distinct hashes; fewer words than a shingle count as one; no words: empty."""
-        words = [self.words(t) for t in texts]
-        hashed = self.hashes([w for own in words for w in own])
-        out, at = [], 0
-        for own in words:
-            n = len(own)
-            h = hashed[at : at + n]
-            at += n
-            size = min(n, self.size)
-            if not n:
-                out.append(np.zeros(0, np.uint64))
-                continue
-            acc = np.full(n - size + 1, np.uint64(size), np.uint64)
-            for k in range(size):
-                acc = _mix(acc * _A + h[k : k + len(acc)])
-            out.append(np.unique(acc))
-        return out
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # ASCII rules: A-Z, and white space x09-x0D and x20
+
+
+def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; fewer words than a shingle count as one; no words: empty."""
+    words = [words_of(t) for t in texts]
+    hashed = word_hashes([w for own in words for w in own])
+    out, at = [], 0
+    for own in words:
+        n = len(own)
+        h = hashed[at : at + n]
+        at += n
+        width = min(n, size)
+        if not n:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        acc = np.full(n - width + 1, np.uint64(width), np.uint64)
+        for k in range(width):
+            acc = _mix(acc * _A + h[k : k + len(acc)])
+        out.append(np.unique(acc))
+    return out
 
 
 def signature(shingles: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarray:
@@ -112,11 +93,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: in
     arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = worker_state(("shingler", size), lambda: Shingler(size))
         for batch in batches:
             texts = texts_of(batch)
-            for a in range(0, len(texts), 256):
-                sets = shingler.sets(texts[a : a + 256])
+            for a, b in slices(texts, 1_000_000):
+                sets = shingle_sets(texts[a:b], size)
                 keys = [band_keys(signature(s, rows * bands), rows) if len(s) else np.zeros(0, np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=arrow)
 
@@ -133,7 +113,6 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = worker_state(("shingler", size), lambda: Shingler(size))
         for batch in batches:
             left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
             keep = []
@@ -142,7 +121,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
                 if len(seen) > 512:
                     seen = {}
                 new = list(dict.fromkeys(t for t in [*left[a : a + 128], *right[a : a + 128]] if t not in seen))
-                seen.update(zip(new, shingler.sets(new), strict=True))
+                seen.update(zip(new, shingle_sets(new, size), strict=True))
                 for x, y in zip(left[a : a + 128], right[a : a + 128], strict=True):
                     s, t = seen[x], seen[y]
                     common = 0 if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)) else len(np.intersect1d(s, t, assume_unique=True))
@@ -168,9 +147,8 @@ def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int)
         names, counts = np.unique(root, return_counts=True)
         out: list[tuple[int, int]] = []
         if len(names) > 1:
-            shingler = worker_state(("shingler", size), lambda: Shingler(size))
             texts = ["" if t is None else t for t in table.column("text").to_pylist()]
-            sets = [s for a in range(0, len(texts), 128) for s in shingler.sets(texts[a : a + 128])]
+            sets = [s for a in range(0, len(texts), 128) for s in shingle_sets(texts[a : a + 128], size)]
             n = np.array([len(s) for s in sets])
             if not n.all():  # another row of the same doc_id, without words
                 some = n > 0
@@ -208,17 +186,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, band
     the most shingles (then the greater digest) stands for it. Other columns are ignored. Nothing is collected; every
     stage but the last is written to the shared scratch folder.
     """
+    bound_batches(docs.sparkSession)
     signed = materialise(signatures(docs, size, rows, bands), "signatures")
     one = signed.select("doc_id", F.struct("n_shingles", "digest").alias("s")).groupBy("doc_id").agg(F.max("s").alias("s")).select("doc_id", "s.n_shingles", "s.digest")
-    classes = one.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialise(one.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"), "members")
+    # written, so that the join has nothing but shuffles below it and Spark can split it where one text has many copies
+    classes = materialise(one.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"), "classes")
+    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id"))
+    member = materialise(one.join(classes, "digest", "left").select("doc_id", "n_shingles", rep.alias("rep")), "members")
     reps = member.where("doc_id = rep").select("doc_id", "n_shingles")
     keyed = signed.join(reps, ["doc_id", "n_shingles"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     bucket = materialise(keyed.join(shared, "key"), "buckets")
+    discard(signed, classes)
     texts = docs.select("doc_id", "text").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     stars = materialise(bucket.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = materialise(verified(stars, texts, size, percent), "links")
+    discard(stars)
     united = components(links)
     placed = bucket.select("key", "rep").distinct().join(united.select(F.col("v").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     sized = placed.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep")
@@ -226,8 +209,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, band
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     open_ = materialise(placed.join(mixed.select("key", chunks.alias("chunks")), "key"), "open")
     more = materialise(_links_between(open_, texts, size, percent), "links")
+    discard(bucket, open_)
     if not more.isEmpty():
         united = components(links.union(more))
+    discard(links, more)
     root = F.coalesce("root", "rep", "doc_id")
     return member.join(united.select(F.col("v").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
 

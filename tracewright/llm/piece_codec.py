@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WordMemo, slices, texts_of, worker_state
+from .common import WordMemo, bound_batches, slices, task_state, texts_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -59,12 +59,18 @@ class PieceCodec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self._fits: dict[tuple[str | None, str], bool] = {}
-        self._parts = WordMemo(self._encode_parts, 300_000)
-        self._words = WordMemo(self._encode_words, 300_000)
+        self._parts = WordMemo(self._encode_parts)
+        self._words = WordMemo(self._encode_words)
         surface = {UNKNOWN: lambda p: trainer.unk_surface.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)]), NORMAL: lambda p: p.replace(SPACE, " ").encode()}
         self.surface = [surface[p.type](p.piece) for p in pieces]
         self.kind = np.array([p.type for p in pieces])
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self._fits.clear()
+        self._parts.forget()
+        self._words.forget()
+
     def merged(self, text: str) -> list[str]:
         """What merging makes of ``text``: the best-scored adjacent pair first, the leftmost of equals."""
         symbols = list(text)
@@ -202,10 +208,6 @@ class PieceCodec:
         return "".join(out)
 
 
-def codec(path: str) -> PieceCodec:
-    return worker_state(("codec", path), lambda: PieceCodec(path))
-
-
 def encode_documents(docs: DataFrame, model: str, digests: bool = False) -> DataFrame:
     """Encode and decode the whole text of each row of ``docs`` (doc_id, text).
 
@@ -213,22 +215,23 @@ def encode_documents(docs: DataFrame, model: str, digests: bool = False) -> Data
     empty (begin and end id only); rows stay as many as they are, also repeated ones; other columns are ignored. Rows are
     mapped where they lie: no shuffle.
     """
+    bound_batches(docs.sparkSession)
     fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *fields])
     ddl = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in slices(texts):
-                ids = own.encode_batch(texts[a:b])
-                decoded = map(own.decode, ids)
-                if digests:
-                    more = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
-                else:
-                    more = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(list(decoded), pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), *more], schema=arrow)
+        with task_state(("codec", model), lambda: PieceCodec(model)) as own:
+            for batch in batches:
+                texts = texts_of(batch)
+                for a, b in slices(texts):
+                    ids = own.encode_batch(texts[a:b])
+                    decoded = map(own.decode, ids)
+                    if digests:
+                        more = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
+                    else:
+                        more = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(list(decoded), pa.string())]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), *more], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(encode, ddl)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, scratch, shuffle_partitions, slices, texts_of, worker_state
+from .common import WordMemo, bound_batches, scratch, shuffle_partitions, slices, task_state, texts_of
 
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNT = np.array([0, 60, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -131,8 +131,13 @@ class WordTokenizer:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = iter(range(0x100, 0x200))
         self._byte = [chr(b) if b in keep else chr(next(other)) for b in range(256)]
-        self._parts = WordMemo(self._encode_parts, 1_000_000)
-        self._words = WordMemo(self._encode_words, 1_000_000)
+        self._parts = WordMemo(self._encode_parts, 80_000_000)
+        self._words = WordMemo(self._encode_words, 80_000_000)
+
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self._parts.forget()
+        self._words.forget()
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, byte = self.library.model.tokenize, self._byte
@@ -170,10 +175,6 @@ class WordTokenizer:
         return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32), lengths
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    return worker_state(("tokenizer", path), lambda: WordTokenizer(path))
-
-
 def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int | None = 2, block_ids: int = 65_536, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write block files in ascending doc_id order below ``target``.
 
@@ -181,6 +182,7 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int
     block of its own; other columns are ignored; an empty table writes an empty file set. The one shuffle is the range
     partitioning by doc_id.
     """
+    bound_batches(docs.sparkSession)
     parts = parts or shuffle_partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -197,24 +199,25 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int
             held.clear()
             return row
 
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for a, b in slices(texts):
-                ids, lens = _tokenizer(tokenizer).encode_batch(texts[a:b], end_id)
-                ends = np.cumsum(lens)
-                i = 0
-                while i < b - a:
-                    begin = int(ends[i] - lens[i])
-                    j = max(i + 1, int(np.searchsorted(ends, begin + block_ids - size, "right")))
-                    j = min(j, b - a)
-                    if size and size + int(ends[j - 1]) - begin > block_ids:
-                        yield flush()
-                        continue
-                    held.append((doc_ids[a + i : a + j], lens[i:j], ids[begin : int(ends[j - 1])]))
-                    size += int(ends[j - 1]) - begin
-                    i = j
-        if held:
-            yield flush()
+        with task_state(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer)) as own:
+            for batch in batches:
+                doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
+                for a, b in slices(texts):
+                    ids, lens = own.encode_batch(texts[a:b], end_id)
+                    ends = np.cumsum(lens)
+                    i = 0
+                    while i < b - a:
+                        begin = int(ends[i] - lens[i])
+                        j = max(i + 1, int(np.searchsorted(ends, begin + block_ids - size, "right")))
+                        j = min(j, b - a)
+                        if size and size + int(ends[j - 1]) - begin > block_ids:
+                            yield flush()
+                            continue
+                        held.append((doc_ids[a + i : a + j], lens[i:j], ids[begin : int(ends[j - 1])]))
+                        size += int(ends[j - 1]) - begin
+                        i = j
+            if held:
+                yield flush()
 
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(target)
 

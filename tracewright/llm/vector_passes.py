@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, discard, materialise
 from .graph import components
 
 #: most signs of a key
@@ -112,7 +112,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
     length. Rows that share a vec_id are one vector (the greatest embedding in array order). Other columns are ignored.
     ``passes`` bounds the passes; with fewer of them buckets are larger, and a pair is found as surely.
     """
-    spark = vectors.sparkSession
+    bound_batches(vectors.sparkSession)
     signed = materialise(_classes(vectors.select("vec_id", "embedding")), "vectors")
     classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = materialise(signed.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").select(F.col("vec_id").alias("rep"), "copies", "embedding"), "representatives")
@@ -171,6 +171,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
         return pa.Table.from_arrays([pa.array(rep[at]), pa.array(links[at].astype(np.int64)), pa.array(rep[label[at]])], schema=out_schema)
 
     found = materialise(dealt.groupBy("pass", "dim", "key", "x", "y").applyInArrow(compare, "rep long, links long, root long"), "links")
+    discard(keyed, large, reps)
     united = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.join(linked, "rep", "left").join(united.select(F.col("v").alias("rep"), "root"), "rep", "left")

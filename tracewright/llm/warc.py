@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import bound_batches, materialise, scratch
 
 END = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -75,6 +75,7 @@ def write_archives(pages: DataFrame, target: str, least_bytes: int = 0) -> None:
     Null html and url are empty. Rows that share a page_id and a payload are one capture, as are rows without a page_id
     that share url and payload; all others come back as captures of their own. Only revisits' numbers are joined; where they are few, Spark broadcasts them and no page is shuffled.
     """
+    bound_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     revisits = decide(pages, least_bytes).where("refers_to IS NOT NULL").select("page_id", "digest", "refers_to").distinct()
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
