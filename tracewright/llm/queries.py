@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": chat.OP1_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
     "op8_minhash": minhash.OP8_SQL,
