@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits (and any character beyond ASCII) after A-Z are lower-cased. Each benchmark item
 yields windows of ten consecutive words, or one window of all its words if it has fewer. The hashes of the windows go to
-the executors as a set within the plan; each document's windows are hashed against it in place, and only windows whose
-hash is in the set are joined, as strings, with the benchmark's windows. The benchmark is fixed in size, but that is
-checked: beyond ``max_windows`` all windows of the documents take part in a shuffled join instead.
+the executors as a bit set within the plan, three bits for each window; each document's windows are hashed and looked up
+in place, and only those whose bits are set are joined, as strings, with the benchmark's windows. The bit set has
+``MAX_BITS`` at most, whatever the benchmark's size: beyond about a million windows more hits are false and go by the
+join, and nothing else changes.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 WINDOW = 10
-MAX_WINDOWS = 50_000
+#: bits for each window of the benchmark, and most bits of all (4 MB)
+BITS_EACH = 32
+MAX_BITS = 1 << 25
 #: a word, once A-Z are lower-cased
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NONE = "CAST(array() AS array<struct<at:int,size:int,window:string>>)"
 
 
 def words_of(text: Column) -> Column:
@@ -35,31 +39,44 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return at.select("item_id", "size", F.array_join(F.slice("words", F.col("at"), F.col("size")), " ").alias("window")).distinct()
 
 
-def _windows(size: int, test: str) -> str:
-    """SQL for the windows of ``size`` words whose text passes ``test``: array of (at, size, window); at counts from 1."""
-    kept = f"sequence(1, size(words) - {size - 1})"
-    if test:
-        kept = f"filter({kept}, i -> {test})"
-    none = "CAST(array() AS array<struct<at:int,size:int,window:string>>)"
-    return f"CASE WHEN size(words) >= {size} THEN transform({kept}, i -> named_struct('at', i, 'size', {size}, 'window', array_join(slice(words, i, {size}), ' '))) ELSE {none} END"
+def _places(h: str, bits: int) -> list[tuple[str, str]]:
+    """SQL for the three bits of the hash ``h``: which long (from 0) and which bit of it. ``bits`` is a power of two."""
+    return [(f"CAST(shiftrightunsigned({h}, {k + 6}) & {bits // 64 - 1}L AS int)", f"CAST(shiftrightunsigned({h}, {k}) & 63L AS int)") for k in (0, 32, 17)]
 
 
-def _candidates(docs: DataFrame, windows: DataFrame, keep: list[str], max_windows: int) -> tuple[DataFrame, list[str] | None]:
-    """``docs`` with n_words and the candidate windows; the windows' texts, unless there are too many."""
+def bit_set(windows: DataFrame, max_bits: int = MAX_BITS) -> tuple[str, int]:
+    """SQL for the bit set of ``windows`` (window), as an array of longs, and how many bits it has.
+
+    At most ``max_bits`` / 64 numbers come to the driver. As a constant of the plan it's read once, where it's needed.
+    """
+    hashes = windows.select(F.xxhash64(F.split("window", " ")).alias("h"))
+    bits = min(1 << 12, max_bits)
+    while bits < min(max_bits, BITS_EACH * windows.count()):
+        bits *= 2
+    at = hashes.select(F.expr("inline(array(" + ", ".join(f"named_struct('i', {i}, 'bit', {b})" for i, b in _places("h", bits)) + "))"))
+    words = at.groupBy("i").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("w"))
+    full = ["0"] * (bits // 64)
+    for r in words.collect():
+        full[r.i] = str(r.w)
+    return f"CAST(split('{','.join(full)}', ',') AS array<bigint>)", bits
+
+
+def _windows(size: int, set_: tuple[str, int]) -> str:
+    """SQL for the windows of ``size`` words whose bits are set: array of (at, size, window); at counts from 1."""
+    words, bits = set_
+    test = " AND ".join(f"getbit(element_at({words}, {i} + 1), {b}) = 1" for i, b in _places("h", bits))
+    hashes = f"transform(sequence(1, size(words) - {size - 1}), i -> xxhash64(slice(words, i, {size})))"
+    at = f"filter(transform({hashes}, (h, k) -> CASE WHEN {test} THEN k + 1 END), x -> x IS NOT NULL)"
+    return f"CASE WHEN size(words) >= {size} THEN transform({at}, i -> named_struct('at', i, 'size', {size}, 'window', array_join(slice(words, i, {size}), ' '))) ELSE {_NONE} END"
+
+
+def _candidates(docs: DataFrame, windows: DataFrame, keep: list[str], max_bits: int) -> DataFrame:
+    """``keep`` of ``docs`` with _row, n_words and ``found``, the windows that may be the benchmark's."""
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # ten numbers at most
-    # one row beyond the bound is enough to know; no more than that comes to the driver
-    listed = windows.select("size", "window").distinct().select("size", "window", F.xxhash64(F.split("window", " ")).alias("hash")).limit(max_windows + 1).collect()
-    fits = len(listed) <= max_windows
-    parts = []
-    for size in sizes:
-        hashes = sorted({r["hash"] for r in listed if r["size"] == size})
-        parts.append(_windows(size, f"xxhash64(slice(words, i, {size})) IN ({', '.join(f'{h}L' for h in hashes)})" if fits else ""))
+    found = f"concat({', '.join(_windows(k, bit_set(windows.where(F.col('size') == k).select('window').distinct(), max_bits)) for k in sizes)})" if sizes else _NONE
     # the row number keeps repeated rows apart and keeps Spark from computing the words once more in a later filter
     words = docs.select(*keep, words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("_row"))
-    none = "CAST(array() AS array<struct<at:int,size:int,window:string>>)"
-    found = f"concat({', '.join(parts)})" if parts else none
-    out = words.select(*keep, "_row", F.expr("CASE WHEN words IS NULL THEN 0L ELSE CAST(size(words) AS long) END").alias("n_words"), F.coalesce(F.expr(found), F.expr(none)).alias("found"))
-    return out, sorted({r["window"] for r in listed}) if fits else None
+    return words.select(*keep, "_row", F.expr("CASE WHEN words IS NULL THEN 0L ELSE CAST(size(words) AS long) END").alias("n_words"), F.coalesce(F.expr(found), F.expr(_NONE)).alias("found"))
 
 
 def _hit_count(places: Column) -> Column:
@@ -73,18 +90,16 @@ def _hit_count(places: Column) -> Column:
     return F.aggregate(F.array_sort(places), zero, add, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; repeated rows each get their row; repeated or null items change nothing; an empty
     benchmark hits nothing; other columns are ignored. One shuffle carries the counts and the verified windows.
     """
-    windows = benchmark_windows(benchmark)
-    rows, listed = _candidates(docs, windows, ["doc_id"], max_windows)
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    rows = _candidates(docs, windows, ["doc_id"], max_bits)
     exploded = rows.select("doc_id", "_row", "n_words", F.explode_outer("found").alias("c")).select("doc_id", "_row", "n_words", "c.at", "c.size", "c.window")
     side = windows.select("item_id", "window").withColumn("item_id", F.col("item_id").cast("string"))
-    if listed is not None:
-        side = F.broadcast(side)  # its size has just been checked
     hits = exploded.join(side, "window", "left")
     place = F.when(F.col("item_id").isNotNull(), F.struct("at", "size"))
     grouped = hits.groupBy("doc_id", "_row").agg(F.max("n_words").alias("n_words"), F.collect_set(place).alias("places"), F.collect_set("item_id").alias("items"))
@@ -92,42 +107,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
     return grouped.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"))
 
 
-def _verified(docs: DataFrame, benchmark: DataFrame, max_windows: int) -> DataFrame:
-    """``docs`` with ``_row`` and ``_places``, the windows (at, size) whose texts are the benchmark's, found row by row.
+def _verified(docs: DataFrame, benchmark: DataFrame, max_bits: int) -> DataFrame:
+    """The texts of ``docs`` with benchmark windows: _doc (doc_id), _digest (of the text) and _places (at, size).
 
-    Beyond ``max_windows`` the rows are written once with their numbers, and the places found by the join come back by number.
+    What a text holds depends on the text alone, so rows of one doc_id with different texts are told apart by its digest.
     """
-    names = docs.columns
-    windows = benchmark_windows(benchmark)
-    rows, listed = _candidates(docs, windows, names, max_windows)
-    if listed is not None:
-        test = "c.window IN (" + ", ".join(f"'{w}'" for w in listed) + ")" if listed else "false"
-        return rows.select(*names, "_row", F.expr(f"transform(filter(found, c -> {test}), c -> named_struct('at', c.at, 'size', c.size))").alias("_places"))
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows, _ = _candidates(numbered.withColumnRenamed("_row", "_number"), windows, ["_number"], max_windows)
-    # the second row number goes along so that the words aren't computed anew for each window
-    exploded = rows.select("_number", "_row", F.explode_outer("found").alias("c")).select("_number", "_row", "c.at", "c.size", "c.window")
-    hits = exploded.join(windows.select("window").distinct(), "window", "left_semi")
-    places = hits.groupBy("_number", "_row").agg(F.collect_set(F.struct("at", "size")).alias("_places")).select(F.col("_number").alias("_row"), "_places")
-    none = F.expr("CAST(array() AS array<struct<at:int,size:int>>)")
-    return numbered.join(places, "_row", "left").select(*names, "_row", F.coalesce("_places", none).alias("_places"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept; no shuffle while the benchmark fits."""
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    rows = _candidates(docs.select("doc_id", "text", F.sha2("text", 256).alias("_digest")), windows, ["doc_id", "_digest"], max_bits)
     # the row number in the condition keeps the words from being computed anew for each window
-    return _verified(docs, benchmark, max_windows).where("size(_places) = 0 AND _row >= 0").select(*docs.columns)
+    found = rows.where("size(found) > 0 AND _row >= 0").select("doc_id", "_digest", F.explode("found").alias("c")).select("doc_id", "_digest", "c.at", "c.size", "c.window")
+    hits = found.join(windows.select("window").distinct(), "window", "left_semi")
+    out = materialise(hits.groupBy(F.col("doc_id").alias("_doc"), "_digest").agg(F.collect_set(F.struct("at", "size")).alias("_places")), "contaminated")
+    discard(windows)
+    return out
+
+
+def _of(docs: DataFrame, hits: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(hits["_doc"]) & (F.sha2(docs["text"], 256) == hits["_digest"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept."""
+    hits = _verified(docs, benchmark, max_bits)
+    return docs.join(hits, _of(docs, hits), "left_anti")
 
 
-def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with every word that lies in a benchmark window cut from ``text``, and what follows it up to the next word."""
     names = docs.columns
-    rows = _verified(docs, benchmark, max_windows)
+    hits = _verified(docs, benchmark, max_bits)
     letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
     cut = F.expr("array_join(filter(_pieces, (p, i) -> NOT exists(_places, h -> i + 1 - _skip >= h.at AND i + 1 - _skip < h.at + h.size)), '')")
+    rows = docs.join(hits, _of(docs, hits), "left")
     rows = rows.withColumn("_pieces", pieces).withColumn("_skip", F.when(F.col("text").rlike(f"^{letters}"), 0).otherwise(1))
-    return rows.select(*[F.when(F.size("_places") > 0, cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])
+    return rows.select(*[F.when(F.col("_places").isNotNull(), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
