@@ -1,4 +1,4 @@
-"""Models in XML: process trees (PTML), nets (PNML), and process diagrams (BPMN) of nets and trees."""
+"""Models in XML: process trees (PTML) and nets (PNML). Process diagrams are in ``bpmn``."""
 
 from __future__ import annotations
 
@@ -128,43 +128,3 @@ def write_pnml(net: Net) -> str:
                 if k > 1:
                     E.SubElement(E.SubElement(a, "inscription"), "text").text = str(k)
     return E.tostring(top, encoding="unicode")
-
-
-def write_bpmn(net: Net) -> str:
-    """A diagram of a net: places are exclusive gateways or ends, transitions tasks (labelled) or parallel gateways.
-
-    Arcs heavier than 1, more than one token on a place, and nets without a marking can't be drawn.
-    """
-    if net.marking is None or any(k > 1 for t in net.transitions for k in (*t.inputs.values(), *t.outputs.values())) or max(net.marking, default=0) > 1:
-        raise ValueError("only safe, unweighted nets with a marking")
-    top = E.Element("definitions", {"xmlns": "http://www.omg.org/spec/BPMN/20100524/MODEL", "id": "definitions"})
-    process = E.SubElement(top, "process", {"id": "process_1", "isExecutable": "true"})
-    flows: list[tuple[str, str]] = []
-    E.SubElement(process, "startEvent", {"id": "start"})
-    for p in range(net.places):
-        leaves = any(p in t.inputs for t in net.transitions)
-        E.SubElement(process, "exclusiveGateway" if leaves else "endEvent", {"id": f"p{p}"})
-    marked = [p for p, k in enumerate(net.marking) if k]
-    if len(marked) == 1:
-        flows.append(("start", f"p{marked[0]}"))
-    else:
-        E.SubElement(process, "parallelGateway", {"id": "split"})
-        flows += [("start", "split"), *(("split", f"p{p}") for p in marked)]
-    for i, t in enumerate(net.transitions):
-        first = last = f"t{i}"
-        if t.label is None:
-            E.SubElement(process, "parallelGateway", {"id": first})
-        else:
-            E.SubElement(process, "task", {"id": first, "name": t.label})
-            if len(t.inputs) > 1:
-                first = f"j{i}"
-                E.SubElement(process, "parallelGateway", {"id": first})
-                flows.append((first, f"t{i}"))
-            if len(t.outputs) > 1:
-                last = f"s{i}"
-                E.SubElement(process, "parallelGateway", {"id": last})
-                flows.append((f"t{i}", last))
-        flows += [(f"p{p}", first) for p in t.inputs] + [(last, f"p{p}") for p in t.outputs]
-    for i, (s, t) in enumerate(flows):
-        E.SubElement(process, "sequenceFlow", {"id": f"f{i}", "sourceRef": s, "targetRef": t})
-    return E.tostring(top, encoding="unicode")

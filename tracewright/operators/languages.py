@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import EventLog
@@ -33,8 +33,20 @@ def probability_sum(slang: DataFrame) -> DataFrame:
 
 
 def push(slang: DataFrame, more: DataFrame) -> DataFrame:
-    """Probability mass of both, trace by trace; both must have the same denominator."""
-    return slang.select("trace", "num", "den").unionByName(more.select("trace", "num", "den")).groupBy("trace", "den").agg(F.sum("num").alias("num")).select("trace", "num", "den", (F.col("num") / F.col("den")).alias("probability"))
+    """Probability mass of both, trace by trace, over a common denominator; mass that isn't positive is an error."""
+    wrong = F.raise_error(F.lit("a trace's mass must be positive")).cast("bigint")
+    rows = slang.select("trace", "num", "den").unionByName(more.select("trace", F.when(F.col("num") > 0, F.col("num")).otherwise(wrong).alias("num"), "den"))
+    # the denominators of two languages are two numbers
+    common = rows.agg(F.collect_set("den").alias("dens")).select(F.aggregate("dens", F.lit(1).cast("bigint"), lambda acc, d: _lcm(acc, d)).alias("all"))
+    scaled = rows.join(F.broadcast(common)).select("trace", F.expr("num * (all div den)").alias("num"), F.col("all").alias("den"))
+    return scaled.groupBy("trace", "den").agg(F.sum("num").alias("num")).select("trace", "num", "den", (F.col("num") / F.col("den")).alias("probability"))
+
+
+def _lcm(a: Column, b: Column) -> Column:
+    """The least common multiple of two positive numbers, by Euclid's steps."""
+    start = F.struct(a.alias("x"), b.alias("y"))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, lambda acc, _: F.when(acc["y"] == 0, acc).otherwise(F.struct(acc["y"].alias("x"), (acc["x"] % F.when(acc["y"] == 0, F.lit(1)).otherwise(acc["y"])).alias("y"))), lambda acc: acc["x"])
+    return (a / gcd).cast("bigint") * b
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import TYPED, as_numeric, as_time
 from ..sources.tables import EventLog
 
 
@@ -78,36 +79,25 @@ def retain_traces(log: EventLog, condition: Column) -> EventLog:
     return EventLog(log.events.join(kept, "case_id", "left_semi"), log.order, None if log.cases is None else log.cases.join(kept, "case_id", "left_semi"))
 
 
-def positions(log: EventLog) -> DataFrame:
-    """The events with ``pos``, from 0 within each case."""
-    by = Window.partitionBy("case_id").orderBy(*log.order)
-    return log.events.withColumn("pos", F.row_number().over(by) - 1)
-
-
-def as_categorical(value: Column, type_: str) -> Column:
-    """Typed access: text and numbers as text, booleans too; dates have no category."""
-    return F.lit(None).cast("string") if type_.startswith(("timestamp", "date")) else value.cast("string")
-
-
-def as_time(value: Column, type_: str) -> Column:
-    """Dates as they are, text that reads as one; numbers have no time."""
-    if type_.startswith(("timestamp", "date")):
-        return value.cast("timestamp")
-    return F.try_to_timestamp(value) if type_ == "string" else F.lit(None).cast("timestamp")
+def _field(name: str):
+    return lambda x: x[name]
 
 
-def as_numeric(value: Column, type_: str) -> Column:
-    """Numbers, and text that reads as a decimal or a fraction such as ``1/5``."""
-    if type_ in ("int", "bigint", "smallint", "tinyint", "float", "double") or type_.startswith("decimal"):
-        return value.cast("double")
-    if type_ != "string":
-        return F.lit(None).cast("double")
-    parts = F.split(value, "/")
-    fraction = F.try_divide(F.try_element_at(parts, F.lit(1)).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double"))
-    return F.coalesce(value.try_cast("double"), F.when(F.size(parts) == 2, fraction))
+def retain_traces_by_events(log: EventLog, condition: Column, attributes: tuple[str, ...]) -> EventLog:
+    """The traces for which ``condition`` over ``trace``, the case's attributes and the arrays of event ``attributes`` holds."""
+    item = F.struct(*log.order, *[F.col(c).alias(f"_{c}") for c in attributes])
+    arrays = log.events.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("_e")).select("case_id", *[F.transform("_e", _field(f"_{c}")).alias(c) for c in attributes])
+    t = traces(log).join(arrays, "case_id", "left")
+    if log.cases is not None:
+        t = t.join(log.cases, "case_id")
+    kept = t.where(condition).select("case_id")
+    return EventLog(log.events.join(kept, "case_id", "left_semi"), log.order, None if log.cases is None else log.cases.join(kept, "case_id", "left_semi"))
 
 
-TYPED = {"categorical": as_categorical, "time": as_time, "numeric": as_numeric}
+def positions(log: EventLog) -> DataFrame:
+    """The events with ``pos``, from 0 within each case."""
+    by = Window.partitionBy("case_id").orderBy(*log.order)
+    return log.events.withColumn("pos", F.row_number().over(by) - 1)
 
 
 def event_attribute(log: EventLog, name: str, kind: str) -> DataFrame:
@@ -126,7 +116,7 @@ def attribute_profile(log: EventLog, names: tuple[str, ...]) -> DataFrame:
     """For each attribute: its kind (Categorical, Numerical, Time, Undefined) and the least and greatest value as text.
 
     The first value decides and the others must agree: all numbers, all times, or a first value that is plain text and
-    only texts after it. A first value of null leaves the kind undefined.
+    only texts after it. A first value of null leaves the kind undefined. Attributes come in the order of their names.
     """
     types = dict(log.events.dtypes)
     entry = [F.struct(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("text"), as_numeric(F.col(n), types[n]).alias("num"), as_time(F.col(n), types[n]).alias("time"), F.lit(types[n] == "string").alias("is_text")) for n in names]
@@ -137,4 +127,4 @@ def attribute_profile(log: EventLog, names: tuple[str, ...]) -> DataFrame:
     kind = F.when(F.col("first.num").isNotNull() & (F.col("n_num") == F.col("n")), "Numerical").when(F.col("first.time").isNotNull() & (F.col("n_time") == F.col("n")), "Time").when(F.col("first.text").isNotNull() & F.col("first.num").isNull() & F.col("first.time").isNull() & F.col("first.is_text"), "Categorical").otherwise("Undefined")
     a = a.withColumn("kind", kind)
     pick = lambda num, time: F.when(F.col("kind") == "Numerical", F.round(num, 6).cast("string")).when(F.col("kind") == "Time", F.date_format(time, fmt))
-    return a.select("attribute", "kind", "n", pick("min_num", "min_time").alias("least"), pick("max_num", "max_time").alias("greatest"))
+    return a.select("attribute", "kind", "n", pick("min_num", "min_time").alias("least"), pick("max_num", "max_time").alias("greatest")).orderBy("attribute")

@@ -6,7 +6,8 @@ from collections import deque
 from collections.abc import Callable
 from fractions import Fraction
 
-from ..formats.markup import write_bpmn, write_pnml, write_ptml
+from ..formats.bpmn import diagram_of_net, diagram_of_powl, diagram_of_tree, write_bpmn
+from ..formats.markup import read_pnml, read_ptml, write_pnml, write_ptml
 from ..formats.text import FollowsModel
 from ..models.automata import Automaton
 from ..models.nets import Net, net_of_automaton, net_of_tree
@@ -48,17 +49,24 @@ CONVERSIONS: dict[tuple[str, str], Callable] = {
     ("sdfm", "slpn"): _net_of_model,
     ("dfm", "dfa"): lambda x: x.automaton().determinise(),
     ("dfm", "lpn"): _net_of_model,
-    ("slpn", "lpn"): lambda x: x,
+    ("slpn", "lpn"): Net.unweighted,
     ("lpn", "lola"): lambda x: x,
-    ("sptree", "ptree"): lambda x: Tree(x.root),
+    ("sptree", "ptree"): lambda x: x.weighted([1] * len(x.leaves())),
     ("sptree", "snfa"): Tree.automaton,
     ("ptree", "dfa"): lambda x: x.automaton().determinise(),
     ("ptree", "lpn"): net_of_tree,
     ("ptree", "powl"): powl_of_tree,
     ("powl", "lpn"): net_of_powl,
     ("lpn", "pnml"): write_pnml,
-    ("lpn", "bpmn"): write_bpmn,
+    ("lpn", "diagram"): diagram_of_net,
+    ("ptree", "diagram"): diagram_of_tree,
+    ("powl", "diagram"): diagram_of_powl,
+    ("diagram", "bpmn"): write_bpmn,
+    ("diagram", "sbpmn"): lambda x: write_bpmn(x, weights=True),
     ("ptree", "ptml"): write_ptml,
+    ("pnml", "lpn"): read_pnml,
+    ("ptml", "ptree"): read_ptml,
+    ("lola", "lpn"): lambda x: x,
     ("sali", "ali"): lambda x: [(None, m) for _, m in x],
 }
 

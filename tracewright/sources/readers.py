@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.objects import ObjectLog
+from ..operators.objects import ObjectLog, event_resources, flatten
+from .scratch import materialise
 from .tables import EventLog
 
 
@@ -20,77 +23,113 @@ def _column(columns: list[str], wanted: str, what: str, needed: bool) -> str | N
     return None
 
 
-def read_csv(spark: SparkSession, path: str, case: str = "0", activity: str = "1", resource: str | None = None, time: str | None = None, header: bool = True, separator: str = ",", quote: str = '"') -> EventLog:
+def read_csv(spark: SparkSession, path: str, case: str = "0", activity: str = "1", resource: str | None = None, time: str | None = None, header: bool = True, separator: str = ",", quote: str = '"', lines: bool = False) -> EventLog:
     """A log in CSV, all cells text. Columns are given by name or index; rows of a case keep their order in the file.
 
+    ``lines`` says that cells may hold line breaks: a file is one task then; without it, large files are read in parts.
+
     Resource and time default to the columns 2 and 3 if there are such; given explicitly they must exist. Fewer than two
     columns or two rows, and separators or quotes of more than one byte, are errors.
     """
     for what, value in (("separator", separator), ("quote", quote)):
         if len(value.encode()) != 1:
             raise ValueError(f"the {what} must be one byte")
-    table = spark.read.csv(path, header=header, sep=separator, quote=quote, escape=quote, multiLine=True, inferSchema=False, enforceSchema=False)
+    table = spark.read.csv(path, header=header, sep=separator, quote=quote, escape=quote, multiLine=lines, inferSchema=False, enforceSchema=False)
     if len(table.columns) < 2:
         raise ValueError("a log needs two columns at least")
     if len(table.take(2)) < 2:
         raise ValueError("a log needs two events at least")
     names = {"case_id": _column(table.columns, case, "case", True), "activity": _column(table.columns, activity, "activity", True), "resource": _column(table.columns, resource or "2", "resource", resource is not None), "time": _column(table.columns, time or "3", "time", time is not None)}
     attributes = F.create_map(*[x for c in table.columns for x in (F.lit(c), F.col(f"`{c}`"))])
-    # the order within files; files follow one another by name
-    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    # the order within files, whatever parts they're read in; files follow one another by name
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     events = table.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in names.items()], attributes.alias("attributes"), place.alias("place"))
     return EventLog(events, ("place",))
 
 
 _TYPES = ("string", "date", "int", "float", "boolean", "id")
 _ATTRIBUTE = "array<struct<_key:string,_value:string>>"
-_XES = "struct<" + ",".join(f"{t}:{_ATTRIBUTE}" for t in _TYPES) + ">"
+_PLAIN = ",".join(f"{t}:{_ATTRIBUTE}" for t in _TYPES)
+#: lists and containers hold attributes, also below ``values``; two levels of them are read
+_INNER = f"array<struct<_key:string,{_PLAIN},values:struct<{_PLAIN}>>>"
+_OUTER = f"array<struct<_key:string,{_PLAIN},list:{_INNER},container:{_INNER},values:struct<{_PLAIN},list:{_INNER},container:{_INNER}>>>"
+_FIELDS = f"{_PLAIN},list:{_OUTER},container:{_OUTER}"
+
+
+def _attributes():
+    """A map of key to {type, value} over all attribute elements of a node; lists and containers as JSON of what they hold."""
 
+    def pair(type_: str, value: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x["_key"].alias("key"), F.struct(F.lit(type_).alias("type"), value(x).alias("value")).alias("value"))
 
-def _attributes(prefix: str):
-    """A map of key to {type, value} over all attribute elements of a node."""
-    parts = [F.transform(F.coalesce(F.col(f"{prefix}{t}"), F.lit([]).cast(_ATTRIBUTE)), lambda x, t=t: F.struct(x["_key"].alias("key"), F.struct(F.lit(t).alias("type"), x["_value"].alias("value")).alias("value"))) for t in _TYPES]
-    return F.map_from_entries(F.array_distinct(F.concat(*parts)))
+    parts = [F.transform(F.coalesce(F.col(t), F.lit([]).cast(_ATTRIBUTE)), pair(t, lambda x: x["_value"])) for t in _TYPES]
+    parts += [F.transform(F.coalesce(F.col(t), F.lit([]).cast(_OUTER)), pair(t, lambda x: F.to_json(x.dropFields("_key")))) for t in ("list", "container")]
+    # of a key that stands twice the last one counts
+    kind = "map<string,struct<type:string,value:string>>"
+    return F.aggregate(F.concat(*parts), F.create_map().cast(kind), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: k != x["key"]), F.map_from_entries(F.array(x))).cast(kind))
 
 
-def read_xes(spark: SparkSession, path: str, classifier: str = "concept:name", resource: str = "org:resource", time: str = "time:timestamp") -> EventLog:
+def read_xes(spark: SparkSession, path: str, classifier: str | tuple[str, ...] = "concept:name", resource: str = "org:resource", time: str = "time:timestamp") -> EventLog:
     """A log in XES: events with activity, resource, ts and an attribute map; cases with theirs; traces without events stay.
 
-    A file without traces must be a log nevertheless.
+    A classifier of several keys gives activities of the values joined with ``+``. A file without traces must be a log
+    nevertheless. Cases and events come from one pass over the files, written once, so a case's number is the same in both.
     """
-    element = ",".join(f"{t}:{_ATTRIBUTE}" for t in _TYPES)
-    schema = ", ".join(f"`{t}` {_ATTRIBUTE}" for t in _TYPES) + f", event array<struct<{element}>>"
+    schema = ", ".join(f"`{f.split(':', 1)[0]}` {f.split(':', 1)[1]}" for f in (*(f"{t}:{_ATTRIBUTE}" for t in _TYPES), f"list:{_OUTER}", f"container:{_OUTER}")) + f", event array<struct<{_FIELDS}>>"
     rows = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path)
     if not spark.read.text(path).where("value LIKE '%<log%'").take(1):
         raise ValueError("no XES log")
-    trace = rows.select(_attributes("").alias("attributes"), F.coalesce("event", F.lit([]).cast(f"array<struct<{element}>>")).alias("event"), F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")).alias("place"))
     # names need not be unique, so a case is known by its place
-    named = trace.withColumn("case_id", F.concat_ws("#", F.regexp_extract("place.file", "[^/]*$", 0), F.col("place.row").cast("string")))
-    cases = named.select("case_id", "attributes")
-    each = named.select("case_id", F.posexplode("event").alias("pos", "e")).select("case_id", "pos", "e.*")
-    events = each.select("case_id", "pos", _attributes("").alias("attributes"))
+    place = F.concat_ws("#", F.regexp_extract(F.input_file_name(), "[^/]*$", 0), F.monotonically_increasing_id().cast("string"))
+    trace = materialise(rows.select(place.alias("case_id"), _attributes().alias("attributes"), F.coalesce("event", F.lit([]).cast(f"array<struct<{_FIELDS}>>")).alias("event")), "xes")
+    events = trace.select("case_id", F.posexplode("event").alias("pos", "e")).select("case_id", "pos", "e.*").select("case_id", "pos", _attributes().alias("attributes"))
     value = lambda k: F.col("attributes")[k]["value"]
-    return EventLog(events.select("case_id", value(classifier).alias("activity"), "pos", value(resource).alias("resource"), F.try_to_timestamp(value(time)).alias("ts"), "attributes"), ("pos",), cases)
+    keys = (classifier,) if isinstance(classifier, str) else classifier
+    activity = value(keys[0]) if len(keys) == 1 else F.concat_ws("+", *[F.coalesce(value(k), F.lit("")) for k in keys])
+    return EventLog(events.select("case_id", activity.alias("activity"), "pos", value(resource).alias("resource"), F.try_to_timestamp(value(time)).alias("ts"), "attributes"), ("pos",), trace.select("case_id", "attributes"))
 
 
 def read_ocel(spark: SparkSession, path: str) -> ObjectLog:
-    """An object-centric log in XML: objects, events in stored order, and what relates them."""
+    """An object-centric log in XML, a file or a folder of files: types, objects, events in stored order, what relates them."""
     relation = "struct<relationship:array<struct<`_object-id`:string,_qualifier:string>>>"
     attribute = "struct<attribute:array<struct<_name:string,_time:string,_VALUE:string>>>"
+    source = spark.read.format("xml").option("recursiveFileLookup", "true")
     place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
-    objects = spark.read.format("xml").option("rowTag", "object").schema(f"_id string, _type string, attributes {attribute}").load(path)
-    events = spark.read.format("xml").option("rowTag", "event").schema(f"_id string, _type string, _time string, attributes {attribute}, objects {relation}").load(path).withColumn("pos", place)
+    types = source.option("rowTag", "object-type").schema("_name string").load(path).where("_name IS NOT NULL").withColumn("place", place).orderBy("place").collect()  # a handful
+    objects = source.option("rowTag", "object").schema(f"_id string, _type string, attributes {attribute}").load(path)
+    events = source.option("rowTag", "event").schema(f"_id string, _type string, _time string, attributes {attribute}, objects {relation}").load(path).where("_id IS NOT NULL").withColumn("pos", place)
     as_map = F.map_from_entries(F.array_distinct(F.transform(F.coalesce("attributes.attribute", F.lit([]).cast("array<struct<_name:string,_time:string,_VALUE:string>>")), lambda a: F.struct(a["_name"], a["_VALUE"]))))
     e2o = events.select(F.col("_id").alias("event_id"), F.posexplode("objects.relationship").alias("rel_pos", "r")).select("event_id", F.col("r.`_object-id`").alias("object_id"), F.col("r._qualifier").alias("qualifier"), "rel_pos")
-    return ObjectLog(events.select(F.col("_id").alias("event_id"), F.col("_type").alias("event_type"), F.try_to_timestamp("_time").alias("ts"), "pos", as_map.alias("attributes")), objects.where("_id IS NOT NULL").select(F.col("_id").alias("object_id"), F.col("_type").alias("object_type"), as_map.alias("attributes")), e2o)
+    return ObjectLog(events.select(F.col("_id").alias("event_id"), F.col("_type").alias("event_type"), F.try_to_timestamp("_time").alias("ts"), "pos", as_map.alias("attributes")), objects.where("_id IS NOT NULL").select(F.col("_id").alias("object_id"), F.col("_type").alias("object_type"), as_map.alias("attributes")), e2o, tuple(dict.fromkeys(r["_name"] for r in types)))
+
+
+def read_ocel_log(spark: SparkSession, path: str, case_type: str = "0", resource_type: str | None = None, time: str = "time") -> EventLog:
+    """The log of one object type of an object-centric file, with resource and time of each event.
+
+    Types are given by name or by their place in the declaration. The case type must exist, and so must the resource type
+    where it's given; else the type at place 1 counts, if there is one. ``time`` is the event's own time or an attribute.
+    """
+    log = read_ocel(spark, path)
+    case = log.object_type(case_type)
+    resource = log.object_type(resource_type or "1", resource_type is not None)
+    flat = flatten(log, case)
+    given = log.events.select("event_id", (F.col("ts") if time == "time" else F.try_to_timestamp(F.col("attributes")[time])).alias("ts"))
+    events = flat.events.drop("ts").join(given, "event_id", "left")
+    none = F.lit(None).cast("string")
+    events = events.join(event_resources(log, resource), "event_id", "left") if resource else events.withColumn("resource", none)
+    return EventLog(events, flat.order, flat.cases)
 
 
 EXECUTION = "trace long, move_index long, activity string, also_in_log boolean, fired_transition long, other_enabled_transitions array<long>, move_index_of_enablement long, time_of_execution string, resource string, resource_utilisation_fired_transition string, other_enabled_transitions_resource_utilisation array<string>, event_attributes map<string,string>"
 
 
 def read_executions(spark: SparkSession, path: str) -> DataFrame:
-    """Executions in JSON, one row each, sorted by time where the list is written; times with their offset become instants."""
+    """Executions in JSON, one row each; times with their offset become instants, whether a ``T`` or a blank stands between
+    date and time and however many digits seconds have. Text that is no time is an error."""
     fields = ",".join(f"{n}:{t}" for n, t in (f.strip().split(" ", 1) for f in EXECUTION.replace("map<string,string>", "map<string;string>").split(",")))
     fields = fields.replace("map<string;string>", "map<string,string>")
     rows = spark.read.schema(f"executions array<struct<{fields}>>").json(path, multiLine=True).select(F.inline("executions"))
-    return rows.withColumn("time_of_execution", F.try_to_timestamp("time_of_execution", F.lit("yyyy-MM-dd HH:mm:ss XXX")))
+    time = F.col("time_of_execution")
+    read = F.coalesce(F.try_to_timestamp(time, F.lit("yyyy-MM-dd HH:mm:ss XXX")), F.try_to_timestamp(time))
+    wrong = F.raise_error(F.concat(F.lit("no time: "), time)).cast("timestamp")
+    return rows.withColumn("time_of_execution", F.when(time.isNotNull() & read.isNull(), wrong).otherwise(read))

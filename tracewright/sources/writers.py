@@ -1,12 +1,25 @@
-"""Writers of event data: CSV and XES. Models are written by ``tracewright.formats``."""
+"""Writers of event data: CSV, XES, object-centric XML and executions. Models are written by ``tracewright.formats``."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.logs import positions, traces
+from ..operators.objects import ObjectLog
 from .tables import EventLog
 
+#: XES types of the tables' types; text for all others
+_XES_TYPES = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "boolean": "boolean", "timestamp": "date", "timestamp_ntz": "date", "date": "date"}
+_VALUE = "struct<type:string,value:string>"
+
+
+def as_text(value: Column, type_: str) -> Column:
+    """An attribute as text; times with milliseconds and an offset, structures not at all."""
+    if type_.startswith(("timestamp", "date")):
+        return F.date_format(value.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    return F.lit(None).cast("string") if type_.startswith(("struct", "map", "array")) else value.cast("string")
+
 
 def write_csv(log: EventLog, path: str) -> None:
     """case, activity and plain attributes in the order of each case; a log with empty traces is an error."""
@@ -17,17 +30,110 @@ def write_csv(log: EventLog, path: str) -> None:
     rows.repartition("case_id").sortWithinPartitions("case_id", "pos").drop("pos").write.csv(path, header=True, quoteAll=True, escape='"')
 
 
-def xes_traces(log: EventLog):
-    """One row per case with its XES ``trace`` element as text; names are escaped, empty traces stay."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    name = lambda c: F.concat(F.lit('<string key="concept:name" value="'), escape(c), F.lit('"/>'))
-    events = F.array_join(F.transform("trace", lambda a: F.concat(F.lit("<event>"), name(a), F.lit("</event>"))), "")
-    return traces(log).select("case_id", F.concat(F.lit("<trace>"), name(F.col("case_id")), events, F.lit("</trace>")).alias("xml"))
+def _escape(c: Column) -> Column:
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        c = F.replace(c, F.lit(plain), F.lit(code))
+    return c
+
+
+def _element(type_: Column, key: Column, value: Column) -> Column:
+    return F.concat(F.lit("<"), type_, F.lit(' key="'), _escape(key), F.lit('" value="'), _escape(value), F.lit('"/>'))
+
+
+def _elements(df: DataFrame, own: tuple[str, ...], except_: tuple[str, ...]) -> Column:
+    """The XES elements of the plain columns of ``df`` and of a column ``attributes``, an XES map, but for keys in ``except_``.
+
+    Lists and containers of an XES map can't be written so: they're an error when a row has one.
+    """
+    types = dict(df.dtypes)
+    out = []
+    for c in df.columns:
+        if c in own:
+            continue
+        if types[c] == f"map<string,{_VALUE}>":
+            bad = F.raise_error(F.lit("lists and containers can't be written"))
+            keep = F.filter(F.map_entries(c), lambda e: ~e["key"].isin(*except_) & e["value"]["value"].isNotNull())
+            out.append(F.transform(keep, lambda e: F.when(e["value"]["type"].isin("list", "container"), bad.cast("string")).otherwise(_element(e["value"]["type"], e["key"], e["value"]["value"]))))
+        elif not types[c].startswith(("struct", "map", "array")) and c not in except_:
+            out.append(F.array(_element(F.lit(_XES_TYPES.get(types[c].split("(")[0], "string")), F.lit(c), as_text(F.col(c), types[c]))))
+    return F.array_join(F.filter(F.concat(*out), lambda x: x.isNotNull()), "") if out else F.lit("")
+
+
+def xes_traces(log: EventLog, event_attributes: bool = False, trace_attributes: bool = False) -> DataFrame:
+    """One row per case with its XES ``trace`` element as text; names are escaped, empty traces stay.
 
+    With ``event_attributes`` and ``trace_attributes`` the typed attributes go along. A log read from XES keeps its own
+    attributes and case names.
+    """
+    name = lambda c: _element(F.lit("string"), F.lit("concept:name"), c)
+    e = log.events
+    from_map = "attributes" in e.columns and dict(e.dtypes)["attributes"] == f"map<string,{_VALUE}>"
+    own = ("case_id", "activity", "pos", *(("resource", "ts") if from_map else ()))
+    more = _elements(e, own, ("concept:name",)) if event_attributes else F.lit("")
+    body = F.concat(F.lit("<event>"), F.coalesce(name(F.col("activity")), F.lit("")), more, F.lit("</event>"))
+    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(log.order)], body.alias("body"))
+    events = e.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["body"]), "").alias("events"))
+    if log.cases is None:
+        return events.select("case_id", F.concat(F.lit("<trace>"), name(F.col("case_id")), "events", F.lit("</trace>")).alias("xml"))
+    c = log.cases
+    named = F.coalesce(F.col("attributes")["concept:name"]["value"], F.col("case_id")) if dict(c.dtypes).get("attributes") == f"map<string,{_VALUE}>" else F.col("case_id")
+    head = F.concat(name(named), _elements(c, ("case_id",), ("concept:name",)) if trace_attributes else F.lit(""))
+    whole = c.select("case_id", head.alias("head")).join(events, "case_id", "left")
+    return whole.select("case_id", F.concat(F.lit("<trace>"), "head", F.coalesce("events", F.lit("")), F.lit("</trace>")).alias("xml"))
 
-def write_xes(log: EventLog, path: str, compress: bool = False) -> None:
-    """A folder of XES files, each a log of its partition's traces."""
-    rows = xes_traces(log)
-    whole = rows.groupBy(F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 10_000).alias("chunk")).agg(F.array_join(F.collect_list("xml"), "\n").alias("xml"))
-    text = whole.select(F.concat(F.lit('<log xes.version="1849-2016">\n'), F.col("xml"), F.lit("\n</log>")).alias("value"))
+
+def write_xes(log: EventLog, path: str, compress: bool = False, event_attributes: bool = False, trace_attributes: bool = False) -> None:
+    """A folder of XES files, each a log of its partition's traces; an empty log is one file without traces."""
+    rows = xes_traces(log, event_attributes, trace_attributes).select("xml")
+    head = '<log xes.version="1849-2016">'
+    text = _files(rows, head)
+    if rows.isEmpty():
+        text = rows.sparkSession.createDataFrame([(f"{head}\n</log>",)], "value string")
     text.write.option("maxRecordsPerFile", 1).text(path, compression="gzip" if compress else "none")
+
+
+def _files(elements: DataFrame, head: str) -> DataFrame:
+    """The one column of ``elements`` as texts of files, each a ``log`` of up to 10,000 elements, in their order."""
+    (column,) = elements.columns
+    placed = elements.select(F.col(column).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 10_000).alias("chunk"))
+    whole = placed.groupBy("part", "chunk").agg(F.array_join(F.collect_list("x"), "\n").alias("x")).orderBy("part", "chunk")
+    return whole.select(F.concat(F.lit(f"{head}\n"), "x", F.lit("\n</log>")).alias("value"))
+
+
+def write_ocel(log: ObjectLog, path: str) -> None:
+    """A folder of object-centric XML files: the types, the objects and the events with what they're related to.
+
+    The files are one log, which :func:`tracewright.sources.readers.read_ocel` reads as a folder; each file is a ``log``
+    element of its own. Attributes are a column ``attributes`` (a map) or plain columns; their types are text.
+    """
+    q = lambda c: F.concat(F.lit('"'), _escape(c), F.lit('"'))
+
+    def attributes(df: DataFrame, own: tuple[str, ...]) -> Column:
+        types = dict(df.dtypes)
+        tag = lambda k, v: F.concat(F.lit("<attribute name="), q(k), F.lit(' time="1970-01-01T00:00:00Z">'), _escape(v), F.lit("</attribute>"))
+        out = [F.transform(F.map_entries(c), lambda e: tag(e["key"], e["value"])) if types[c] == "map<string,string>" else F.array(tag(F.lit(c), as_text(F.col(c), types[c]))) for c in df.columns if c not in own and not types[c].startswith(("struct", "array"))]
+        inner = F.array_join(F.filter(F.concat(*out), lambda x: x.isNotNull()), "") if out else F.lit("")
+        return F.concat(F.lit("<attributes>"), inner, F.lit("</attributes>"))
+
+    objects = log.objects.select(F.concat(F.lit("<object id="), q(F.col("object_id")), F.lit(" type="), q(F.col("object_type")), F.lit(">"), attributes(log.objects, ("object_id", "object_type")), F.lit("</object>")).alias("value"))
+    qualifier = F.coalesce("qualifier", F.lit("")) if "qualifier" in log.e2o.columns else F.lit("")
+    link = F.concat(F.lit("<relationship object-id="), q(F.col("object_id")), F.lit(" qualifier="), q(qualifier), F.lit("/>"))
+    of = log.e2o.groupBy(F.col("event_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel_pos", link.alias("x")))), lambda x: x["x"]), "").alias("links"))
+    time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    events = log.events.join(of, "event_id", "left").orderBy("pos", "event_id")
+    events = events.select(F.concat(F.lit("<event id="), q(F.col("event_id")), F.lit(" type="), q(F.col("event_type")), F.lit(" time="), q(F.coalesce(time, F.lit(""))), F.lit(">"), attributes(log.events, ("event_id", "event_type", "ts", "pos")), F.lit("<objects>"), F.coalesce("links", F.lit("")), F.lit("</objects></event>")).alias("value"))
+    types = log.types or tuple(r[0] for r in log.objects.select("object_type").distinct().orderBy("object_type").collect())  # a handful
+    spark = log.events.sparkSession
+    names = spark.createDataFrame([(t,) for t in types], "t string").coalesce(1).select(F.concat(F.lit("<object-type name="), q(F.col("t")), F.lit("><attributes/></object-type>")).alias("value"))
+    for part, rows in (("object-types", names), ("objects", objects), ("events", events)):
+        _files(rows, "<log>").write.option("maxRecordsPerFile", 1).text(f"{path}/{part}")
+
+
+def write_executions(executions: DataFrame, path: str) -> None:
+    """Executions as JSON files of the shape ``{"executions": [..]}``, up to 10,000 each, sorted by trace and move within a file."""
+    time = F.date_format("time_of_execution", "yyyy-MM-dd HH:mm:ss XXX") if dict(executions.dtypes).get("time_of_execution", "").startswith("timestamp") else F.lit(None).cast("string")
+    rows = executions.withColumn("time_of_execution", time) if "time_of_execution" in executions.columns else executions
+    rows = rows.repartition("trace").sortWithinPartitions("trace", "move_index")
+    whole = rows.select(F.struct(*rows.columns).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 10_000).alias("chunk"))
+    whole = whole.groupBy("part", "chunk").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when((a["trace"] < b["trace"]) | ((a["trace"] == b["trace"]) & (a["move_index"] < b["move_index"])), -1).when((a["trace"] == b["trace"]) & (a["move_index"] == b["move_index"]), 0).otherwise(1)).alias("executions"))
+    whole.select(F.to_json(F.struct("executions"), {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
