@@ -83,6 +83,20 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_digests(spark, target + "0").count() == 0
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    path = P.path("word_bpe_49k.json")
+    told = json.loads(open(path).read())
+    texts = [t or "" for _, t in TEXTS[:5]] + ["UPPER Case", "we'll see"]
+    for change in ({"normalizer": None}, {"pre_tokenizer": told["pre_tokenizer"]["pretokenizers"][1]}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(told | change))
+        own = token_files.WordTokenizer(str(other))
+        want = own.library
+        assert own.by_words == ("truncation" in change)
+        ids, counts = own.encode_batch(texts)
+        assert ids.tolist() == [x for t in texts for x in want.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
 # ---- pieces --------------------------------------------------------------------------------------------------------------
 
 

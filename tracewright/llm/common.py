@@ -1,11 +1,10 @@
-"""What the operators of this subpackage share: scratch folders, word memos, batches of texts."""
+"""What the operators of this subpackage share: scratch folders, word memos, batches of texts, state of workers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
 from typing import TypeVar
@@ -16,52 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-T = TypeVar("T")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is absent, a run on one machine (tests) uses its warehouse folder; on a cluster that's an error, as
-    the warehouse may be a folder that other machines don't see.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/tracewright/{name}-{uuid.uuid4().hex}"
-
-
-#: with it, Spark removes a query's shuffle files once the query has ended
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into a scratch folder and read it back: lineage ends here, and lost executors lose nothing.
+from ..sources.scratch import discard, materialise, scratch
 
-    The shuffles before the table aren't needed any more then, so their files go.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+__all__ = ["WordMemo", "bound_batches", "discard", "materialise", "memo_bytes", "pa_fields", "returning", "scratch", "shuffle_partitions", "slices", "task_state", "texts_of", "word_hashes"]
 
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables made by :func:`materialise` that nothing reads any more: all that came from them is written itself."""
-    for df in tables:
-        if df is not None and (path := getattr(df, "scratch_path", None)):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+T = TypeVar("T")
 
 
 _STATE: dict = {}
@@ -93,6 +51,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def returning(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step``, whose worker gives memory back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 #: bytes of a batch of rows between Spark and Python
 BATCH_BYTES = 4_000_000
 

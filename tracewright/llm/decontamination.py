@@ -21,6 +21,8 @@ WINDOW = 10
 #: bits for each window of the benchmark, and most bits of all (4 MB)
 BITS_EACH = 32
 MAX_BITS = 1 << 25
+#: most contaminated texts (an id, a digest and a few places each) that are broadcast
+BROADCAST_ROWS = 50_000
 #: a word, once A-Z are lower-cased
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NONE = "CAST(array() AS array<struct<at:int,size:int,window:string>>)"
@@ -122,14 +124,19 @@ def _verified(docs: DataFrame, benchmark: DataFrame, max_bits: int) -> DataFrame
     return out
 
 
+def _sized(hits: DataFrame) -> DataFrame:
+    """``hits`` for a join: broadcast if they're at most BROADCAST_ROWS, which is counted, else merged."""
+    return F.broadcast(hits) if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits.hint("merge")
+
+
 def _of(docs: DataFrame, hits: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(hits["_doc"]) & (F.sha2(docs["text"], 256) == hits["_digest"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept."""
+    """The rows of ``docs`` without any benchmark window, all columns kept; no shuffle while few texts have any."""
     hits = _verified(docs, benchmark, max_bits)
-    return docs.join(hits, _of(docs, hits), "left_anti")
+    return docs.join(_sized(hits), _of(docs, hits), "left_anti")
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -139,7 +146,7 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_
     letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
     cut = F.expr("array_join(filter(_pieces, (p, i) -> NOT exists(_places, h -> i + 1 - _skip >= h.at AND i + 1 - _skip < h.at + h.size)), '')")
-    rows = docs.join(hits, _of(docs, hits), "left")
+    rows = docs.join(_sized(hits), _of(docs, hits), "left")
     rows = rows.withColumn("_pieces", pieces).withColumn("_skip", F.when(F.col("text").rlike(f"^{letters}"), 0).otherwise(1))
     return rows.select(*[F.when(F.col("_places").isNotNull(), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialise, slices, texts_of, word_hashes
+from .common import bound_batches, discard, materialise, returning, slices, texts_of, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -100,16 +100,16 @@ def signatures(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: in
                 keys = [band_keys(signature(s, rows * bands), rows) if len(s) else np.zeros(0, np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(returning(sign), "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """Those of ``pairs`` (a, b: doc_ids) whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
                     keep.append(100 * common >= percent * (len(s) + len(t) - common) > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=arrow).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(returning(verify), "a long, b long")
 
 
 def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -182,6 +182,8 @@ def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int)
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, percent: int = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
+    What grows with the documents is joined by merging, never broadcast, so the plan is the same at every size.
+
     Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one document: the one with
     the most shingles (then the greater digest) stands for it. Other columns are ignored. Nothing is collected; every
     stage but the last is written to the shared scratch folder.
@@ -192,13 +194,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, band
     # written, so that the join has nothing but shuffles below it and Spark can split it where one text has many copies
     classes = materialise(one.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"), "classes")
     rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id"))
-    member = materialise(one.join(classes, "digest", "left").select("doc_id", "n_shingles", rep.alias("rep")), "members")
+    member = materialise(one.join(classes.hint("merge"), "digest", "left").select("doc_id", "n_shingles", rep.alias("rep")), "members")
     reps = member.where("doc_id = rep").select("doc_id", "n_shingles")
-    keyed = signed.join(reps, ["doc_id", "n_shingles"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    keyed = signed.join(reps.hint("merge"), ["doc_id", "n_shingles"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
-    bucket = materialise(keyed.join(shared, "key"), "buckets")
+    bucket = materialise(keyed.join(shared.hint("merge"), "key"), "buckets")
     discard(signed, classes)
-    texts = docs.select("doc_id", "text").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi")
     stars = materialise(bucket.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = materialise(verified(stars, texts, size, percent), "links")
     discard(stars)
@@ -223,7 +225,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are one document and stay or go together; documents without words always stay.
     """
     dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, discard, materialise, pa_fields, slices, texts_of, word_hashes
+from .common import bound_batches, discard, materialise, pa_fields, returning, slices, texts_of, word_hashes
 from .minhash import _mix
 
 #: words of a group that tells where runs may be equal
@@ -153,7 +153,7 @@ def _marks(docs: DataFrame, unit: str, run_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(words).astype(np.int32)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
 
     # rows without an id can't be ranked and are kept as they are
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(mark, "doc_id long, at int, words int, d0 long, d1 int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(returning(mark), "doc_id long, at int, words int, d0 long, d1 int")
 
 
 def _runs(docs: DataFrame, again: DataFrame, unit: str, run_words: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _runs(docs: DataFrame, again: DataFrame, unit: str, run_words: int) -> DataF
                 digest = np.concatenate([d for _, d in found])
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([x for x, _ in found]).astype(np.int32)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(digest[:, 1].astype(np.int32))], schema=schema)
 
-    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(emit, "doc_id long, at int, d0 long, d1 int")
+    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(returning(emit), "doc_id long, at int, d0 long, d1 int")
 
 
 def _numbers(marks: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, unit: str = "line", run_words: int = RUN_WOR
                 removed.append(spans)
             yield pa.RecordBatch.from_arrays([*[pa.array(texts, f.type) if f.name == "text" else batch.column(f.name).cast(f.type) for f in fields], pa.array(removed, spans_type)], schema=schema)
 
-    return both.mapInArrow(cut, T.StructType([*kept.schema.fields, T.StructField("removed", REMOVED)]))
+    return both.mapInArrow(returning(cut), T.StructType([*kept.schema.fields, T.StructField("removed", REMOVED)]))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

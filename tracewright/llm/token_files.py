@@ -12,6 +12,7 @@ can write those to any store that executors share. ``part`` numbers ascend with
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -111,12 +112,18 @@ def unpack(words: bytes) -> np.ndarray:
     return out
 
 
+#: how the normaliser and the splitter have to be described in a file for texts to be cut into words here
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordTokenizer:
-    """Ids of a ``tokenizers`` file whose normaliser and splitter are those of word_bpe_49k.json.
+    """Ids of a ``tokenizers`` file, as the library gives them.
 
-    White space always separates words there and is dropped, so that a text's ids are those of its words. Texts of
-    characters below U+0180 (U+0130 apart) are cut into words here, and the library's model encodes each distinct word
-    once; all other texts, and those with special tokens, go through the library as they are.
+    In files with the normaliser and the splitter above, white space always separates words and is dropped, so that a
+    text's ids are those of its words. Texts of characters below U+0180 (U+0130 apart) are cut into words here then, and
+    the library's model encodes each distinct word once; all other texts, those with added tokens, and all texts of other
+    files go through the library as they are.
     """
 
     _plain = regex.compile(r"[\x00-įı-ſ]*")
@@ -126,6 +133,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        told = json.loads(self.library.to_str())
+        self.by_words = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _SPLITTER and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -157,7 +168,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (with ``end_id`` after each text), and each text's count."""
-        odd = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not self._plain.fullmatch(t) or any(s in t for s in self._special)}
+        odd = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not self.by_words or not self._plain.fullmatch(t) or any(s in t for s in self._special)}
         words, counts = [], []
         for i, t in enumerate(texts):
             own = [] if i in odd else t.lower().split(" ")
