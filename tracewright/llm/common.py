@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import discard, materialise, scratch
 
-__all__ = ["WordMemo", "bound_batches", "discard", "materialise", "memo_bytes", "pa_fields", "returning", "scratch", "shuffle_partitions", "slices", "task_state", "texts_of", "word_hashes"]
+__all__ = ["WordMemo", "bound_batches", "discard", "free_names", "materialise", "memo_bytes", "pa_fields", "returning", "scratch", "shuffle_partitions", "slices", "task_state", "texts_of", "word_hashes"]
 
 T = TypeVar("T")
 
@@ -87,6 +87,17 @@ def pa_fields(df: DataFrame) -> list[pa.Field]:
     return list(to_arrow_schema(df.schema))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, with underscores in front of each until no column has the name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordMemo:
     """Remembers the ids of words seen so far in a task, so that a distinct word is encoded once.
 

@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, free_names, materialise
 
 WINDOW = 10
 #: bits for each window of the benchmark, and most bits of all (4 MB)
@@ -145,10 +145,11 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_
     hits = _verified(docs, benchmark, max_bits)
     letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{letters}[^0-9A-Za-z\\x80-\\x{{10FFFF}}]*|^[^0-9A-Za-z\\x80-\\x{{10FFFF}}]+"), F.lit(0))
-    cut = F.expr("array_join(filter(_pieces, (p, i) -> NOT exists(_places, h -> i + 1 - _skip >= h.at AND i + 1 - _skip < h.at + h.size)), '')")
-    rows = docs.join(_sized(hits), _of(docs, hits), "left")
-    rows = rows.withColumn("_pieces", pieces).withColumn("_skip", F.when(F.col("text").rlike(f"^{letters}"), 0).otherwise(1))
-    return rows.select(*[F.when(F.col("_places").isNotNull(), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])
+    where, of, skip = free_names(names, "_places", "_pieces", "_skip")
+    cut = F.expr(f"array_join(filter({of}, (p, i) -> NOT exists({where}, h -> i + 1 - {skip} >= h.at AND i + 1 - {skip} < h.at + h.size)), '')")
+    rows = docs.join(_sized(hits), _of(docs, hits), "left").select(*[docs[n] for n in names], hits["_places"].alias(where))
+    rows = rows.withColumn(of, pieces).withColumn(skip, F.when(F.col("text").rlike(f"^{letters}"), 0).otherwise(1))
+    return rows.select(*[F.when(F.col(where).isNotNull(), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names])
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, memo_bytes, pa_fields, slices, task_state, texts_of
+from .common import bound_batches, free_names, memo_bytes, pa_fields, slices, task_state, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -238,6 +238,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     shared = spark.sparkContext.broadcast(model)  # languages x buckets doubles: fixed by parameters
     tag = uuid.uuid4().hex
     kept = docs.select(*keep)
+    (own,) = free_names([*keep, *names], "_text")
     fields = [*pa_fields(kept), pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
     schema = pa.schema(fields)
     ddl = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -246,7 +247,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
         with task_state(("scorer", tag), lambda: Scorer(shared.value)) as scorer:
             languages = scorer.model.languages
             for batch in batches:
-                texts = texts_of(batch, "_text")
+                texts = texts_of(batch, own)
                 for a, b in slices(texts):
                     if languages:
                         p, lettered = scorer.probabilities(texts[a:b])
@@ -259,7 +260,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
                     rest = [batch.column(f.name).slice(a, b - a).cast(f.type) for f in fields[:-2]]
                     yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predict, ddl)
+    return docs.select(*keep, F.col("text").alias(own)).mapInArrow(predict, ddl)
 
 
 def accepted(docs: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -269,8 +270,9 @@ def accepted(docs: DataFrame, threshold: float = 0.4) -> DataFrame:
     """
     model = fit_language_model(docs)
     names = docs.columns
-    scored = predict_language(docs, model, tuple(names), ("_lang_pred", "_score"))
-    return scored.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= threshold)).select(*names)
+    lang, score = free_names(names, "_lang_pred", "_score")
+    scored = predict_language(docs, model, tuple(names), (lang, score))
+    return scored.where((F.col(lang) != UNKNOWN) & (F.col(score) >= threshold)).select(*names)
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:

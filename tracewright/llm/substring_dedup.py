@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, discard, materialise, pa_fields, returning, slices, texts_of, word_hashes
+from .common import bound_batches, discard, free_names, materialise, pa_fields, returning, slices, texts_of, word_hashes
 from .minhash import _mix
 
 #: words of a group that tells where runs may be equal
@@ -215,16 +215,17 @@ def remove_repeats(docs: DataFrame, unit: str = "line", run_words: int = RUN_WOR
     """
     if unit not in ("line", "paragraph"):
         raise ValueError(f"unit {unit!r}")
-    kept = docs.select(*[n for n in docs.columns if n not in ("removed", "_units")])
+    kept = docs.select(*[n for n in docs.columns if n != "removed"])
+    (units,) = free_names(kept.columns, "_units")
     fields = pa_fields(kept)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     schema = pa.schema([*fields, ("removed", spans_type)])
-    both = kept.join(repeats(docs, unit, run_words), "doc_id", "left").select(*kept.columns, "_units")
+    both = kept.join(repeats(docs, unit, run_words).withColumnRenamed("_units", units), "doc_id", "left").select(*kept.columns, units)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = batch.column("text").to_pylist(), []
-            for i, numbers in enumerate(batch.column("_units")):
+            for i, numbers in enumerate(batch.column(units)):
                 spans = spans_of(texts[i], *_numbers(numbers)) if numbers.is_valid and texts[i] else []
                 if spans:
                     edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(texts[i])]
