@@ -226,6 +226,39 @@ def test_archives_keep_pages_that_share_an_id(spark, tmp_path):
     assert [by[r.refers_to].target_uri for r in by.values() if r.record_type == "revisit"] == ["v"] and f"<urn:capture:response:{two}:2>" in by
 
 
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def record(headers, block, end="\r\n"):
+        return ("WARC/1.0" + end + "".join(f"{k}{v}{end}" for k, v in headers) + f"content-length:{len(block)}{end}{end}").encode() + block + (end * 2).encode()
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    a = record([("WARC-Type:", "warcinfo"), ("WARC-Record-ID: ", "<i>")], b"software: x")
+    b = record([("WARC-Type: ", "response"), ("WARC-Record-ID:", "<r>"), ("WARC-Target-URI :", " http://a/?q=a:b"), ("WARC-Note: ", "one\r\n  two"), ("Content-Type: ", "application/http; msgtype=response")], http + b"\x00WARC/1.0\r\n\r\n" * 3)
+    c = record([("WARC-Type: ", "revisit"), ("WARC-Record-ID: ", "<v>"), ("WARC-Refers-To: ", "<r>"), ("WARC-Payload-Digest: ", "md5:00")], b"", "\n")
+    d = record([("WARC-Type: ", "resource"), ("WARC-Record-ID: ", "<x>"), ("Content-Type:", "text/plain")], "é".encode() * 500_000)
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, (a, b))))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(c + d) + b"\0" * 16)
+    rows = {r.record_id: r for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"<i>", "<r>", "<v>", "<x>"}
+    body = b"\x00WARC/1.0\r\n\r\n" * 3
+    assert bytes(rows["<r>"].block) == body and rows["<r>"].payload_digest == warc.payload_digest(body) and rows["<r>"].target_uri == "http://a/?q=a:b"
+    assert rows["<v>"].refers_to == "<r>" and bytes(rows["<v>"].block) == b"" and len(rows["<x>"].block) == 1_000_000
+    captures = {r.capture_id: r for r in warc.assemble(warc.read_records(spark, str(tmp_path))).collect()}
+    assert captures["<r>"].response and captures["<v>"].response.record_type == "revisit"
+    assert list(warc.parse_records(a + b))[1][0]["warc-note"] == "one two"
+    for bad in (b"x", a[:-20], gzip.compress(b)[:-30], record([("WARC-Type", "no colon")], b"")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse_records(bad))
+    wrong = record([("WARC-Type: ", "response"), ("WARC-Record-ID: ", "<r>"), ("WARC-Payload-Digest: ", "sha1:AAAA")], http)
+    (tmp_path / "wrong").mkdir()
+    (tmp_path / "wrong" / "w.warc.gz").write_bytes(gzip.compress(wrong))
+    with pytest.raises(Exception, match="differ"):
+        warc.read_records(spark, str(tmp_path / "wrong")).count()
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
+    assert warc.read_records(spark, str(tmp_path / "none")).count() == 0
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,22 +2,22 @@
 
 A capture is three records: the request, the response (or a revisit of the response with an equal payload) and metadata.
 Request and metadata name the response in WARC-Concurrent-To. Files are gzipped WARC 1.1; a record ends with two line
-breaks, which Spark's text writer puts after each row, so that any store Spark knows can hold them. The reader takes whole
-files and finds records by their Content-Length, so payloads may hold anything; the writer keeps files small for that.
+breaks, which Spark's text writer puts after each row, so that any store Spark knows can hold them. The reader takes
+files as bytes and finds records by their Content-Length, so payloads may hold anything; it inflates one record at a time.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, scratch
+from .common import BATCH_BYTES, bound_batches, materialise, returning, scratch
 
 END = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -92,22 +92,94 @@ def write_archives(pages: DataFrame, target: str, least_bytes: int = 0) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=schema)
 
     per_file = max(3, 3 * int(FILE_CHARS / max(mean, 1)))
-    lines = rows.mapInArrow(write, "value string")
+    lines = rows.mapInArrow(returning(write), "value string")
     lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(target)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers and block of each record of an uncompressed archive."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        size = int(headers["Content-Length"])
-        yield headers, view[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+class _Stream:
+    """The bytes of an archive, plain or gzipped in any number of members, inflated as they're asked for."""
+
+    def __init__(self, data: bytes):
+        self._parts, self._held = self._inflated(data) if data[:2] == b"\x1f\x8b" else iter([data]), bytearray()
+
+    @staticmethod
+    def _inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+        left = memoryview(data)
+        while len(left):
+            member, at = zlib.decompressobj(31), 0
+            while not member.eof:
+                if member.unconsumed_tail:
+                    part = member.decompress(member.unconsumed_tail, size)
+                elif at < len(left):
+                    part = member.decompress(left[at : at + size], size)
+                    at += size
+                else:
+                    raise ValueError("an archive that ends within a gzip member")
+                yield part
+            left = left[min(at, len(left)) - len(member.unused_data) :]
+            if not any(left[:1]):  # padding
+                return
+
+    def _more(self) -> bool:
+        part = next(self._parts, None)
+        self._held += part or b""
+        return part is not None
+
+    def line(self) -> bytes | None:
+        """The next line without its end; None at the end."""
+        begin = 0
+        while (end := self._held.find(b"\n", begin)) < 0:
+            begin = len(self._held)
+            if not self._more():
+                if not self._held:
+                    return None
+                end = len(self._held)
+                break
+        out = bytes(self._held[:end]).rstrip(b"\r")
+        del self._held[: end + 1]
+        return out
+
+    def take(self, size: int) -> bytes:
+        while len(self._held) < size:
+            if not self._more():
+                raise ValueError("an archive that ends within a record")
+        out = bytes(self._held[:size])
+        del self._held[:size]
+        return out
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in small letters) and block of each record of an archive, one record in memory at a time.
+
+    Blank lines between records don't count; a header may have blanks around its colon or go on in the next line.
+    """
+    stream = _Stream(data)
+    while (line := stream.line()) is not None:
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record: {line[:60]!r}")
+        headers: dict[str, str] = {}
+        last = None
+        while line := stream.line():
+            text = line.decode("utf-8", "replace")
+            if text[:1] in " \t" and last:
+                headers[last] += " " + text.strip()
+            elif ":" in text:
+                last, _, value = text.partition(":")
+                last = last.strip().lower()
+                headers[last] = value.strip()
+            else:
+                raise ValueError(f"no header: {text[:60]!r}")
+        yield headers, stream.take(int(headers["content-length"]))
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block without its HTTP head, where it has one."""
+    if "application/http" not in headers.get("content-type", "application/http").lower() or not block.startswith(b"HTTP/"):
+        return block
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := block.find(mark)) >= 0]
+    return block[sum(min(ends)) :] if ends else b""
 
 
 RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, block binary"
@@ -116,32 +188,41 @@ RECORDS = "record_type string, record_id string, concurrent_to string, refers_to
 def read_records(spark: SparkSession, source: str, blocks: bool = True) -> DataFrame:
     """One row for each record below ``source``; of responses the block is the payload and the digest is computed anew.
 
-    Without ``blocks`` the block of responses is left out and ``payload_bytes`` tells its size.
+    Without ``blocks`` only metadata have a block, and ``payload_bytes`` tells the size of responses. Archives of others are
+    read too: plain or gzipped in any way, with or without digests and HTTP heads. A digest that is given as SHA-1 must fit.
     """
     schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for h, block in parse_records(gzip.decompress(content.as_py())):
-                    kind, digest, size = h["WARC-Type"], h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, None
-                    body = bytes(block)
+                held = 0
+                for h, block in parse_records(content.as_py()):
+                    kind, told, size = h.get("warc-type"), h.get("warc-payload-digest"), None
+                    digest = told.removeprefix("sha1:") if told else None
                     if kind in ("response", "revisit"):
-                        body = body[body.index(b"\r\n\r\n") + 4 :]
-                        if kind == "response":
-                            if payload_digest(body) != digest:
-                                raise ValueError(f"{h['WARC-Record-ID']}: payload and digest differ")
-                            size = len(body)
-                    rows.append((kind, h["WARC-Record-ID"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), digest, size, body if blocks or kind == "metadata" else None))
-                    if len(rows) == 600:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
+                        block = payload_of(h, block)
+                    if kind == "response":
+                        own = payload_digest(block)
+                        # a digest of another kind can't be held against it
+                        if told and (told.startswith("sha1:") or ":" not in told) and digest.upper() != own:
+                            raise ValueError(f"{h.get('warc-record-id')}: payload and digest differ")
+                        digest, size = own, len(block)
+                    kept = block if blocks or kind == "metadata" else None
+                    rows.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, size, kept))
+                    held += len(kept or b"")
+                    if len(rows) == 600 or held > BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
-    return files.mapInArrow(read, RECORDS.replace("block binary", "payload_bytes long, block binary"))
+    return files.mapInArrow(returning(read), RECORDS.replace("block binary", "payload_bytes long, block binary"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
