@@ -9,7 +9,7 @@ from tracewright.formats import text as T
 from tracewright.operators import graphs, languages, logs, objects
 from tracewright.plans.convert import convert, path
 from tracewright.sources import readers, tables, writers
-from tracewright.streaming.follows import follows_stream
+from tracewright.streaming.follows import follows_counts, follows_stream
 
 XES = """<?xml version="1.0"?><log xes.version="1.0">
 <trace><string key="concept:name" value="ward 4"/><int key="beds" value="12"/><list key="tags"><values><string key="tag" value="acute"/></values></list>
@@ -202,12 +202,27 @@ def test_conversions():
 
 
 def test_stream(spark, tmp_path):
+    """Events come late and out of order; cases end when the watermark has left them behind."""
+    import os
+
     (tmp_path / "in").mkdir()
-    schema = "c string, a string, t timestamp"
-    rows = [("1", "a", "2020-01-01 00:00:00"), ("1", "b", "2020-01-01 00:01:00"), ("2", "a", "2020-01-01 00:02:00")]
-    spark.createDataFrame(rows, "c string, a string, t string").select("c", "a", F.to_timestamp("t").alias("t")).coalesce(1).write.parquet(str(tmp_path / "in" / "x"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    batches = [
+        [("c", "load", "2020-01-01 00:00:00"), ("c", "unload", "2020-01-01 00:20:00")],
+        [("c", "drive", "2020-01-01 00:10:00"), ("d", "load", "2020-01-01 00:05:00")],  # before what has come
+        [("e", "load", "2020-01-01 09:00:00")],
+        [("e", "drive", "2020-01-01 12:00:00"), ("c", "too late", "2020-01-01 00:15:00")],
+        [("f", "load", "2020-01-01 20:00:00")],
+    ]
+    for i, rows in enumerate(batches):
+        out = str(tmp_path / f"b{i}")
+        spark.createDataFrame(rows, "c string, a string, t string").select("c", "a", F.to_timestamp("t").alias("t")).coalesce(1).write.parquet(out)
+        (name,) = [n for n in os.listdir(out) if n.endswith(".parquet")]
+        os.rename(f"{out}/{name}", tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_600_000_000 + i, 1_600_000_000 + i))
+    stream = spark.readStream.schema("c string, a string, t timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = follows_stream(stream, "c", "a", "t").writeStream.format("memory").queryName("follows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert {tuple(r) for r in spark.table("follows").collect()} == {("start", None, "a"), ("edge", "a", "b")}
+    steps = [tuple(r) for r in spark.table("follows").collect()]
+    assert sorted(steps, key=str) == sorted([("start", None, "load"), ("edge", "load", "drive"), ("edge", "drive", "unload"), ("end", "unload", None), ("start", None, "load"), ("end", "load", None), ("start", None, "load"), ("edge", "load", "drive"), ("end", "drive", None)], key=str)
+    assert {(r.kind, r.target): r.weight for r in follows_counts(spark.table("follows")).where("kind = 'start'").collect()} == {("start", "load"): 3}
