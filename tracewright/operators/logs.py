@@ -9,13 +9,18 @@ from ..functions.values import TYPED, as_numeric, as_time
 from ..sources.tables import EventLog
 
 
+def _with_cases(log: EventLog, *columns: str) -> DataFrame:
+    """The ``columns`` of the events and a row of nulls for each known case, told apart by ``_case``: cases need no join then."""
+    events = log.events.select("case_id", *columns, F.lit(False).alias("_case"))
+    return events if log.cases is None else events.unionByName(log.cases.select("case_id", F.lit(True).alias("_case")), allowMissingColumns=True)
+
+
 def traces(log: EventLog) -> DataFrame:
-    """(case_id, trace: array of activities); with ``cases`` also the empty traces."""
-    item = F.struct(*log.order, "activity")
-    out = log.events.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["activity"]).alias("trace"))
-    if log.cases is None:
-        return out
-    return log.cases.select("case_id").join(out, "case_id", "left").select("case_id", F.coalesce("trace", F.array().cast("array<string>")).alias("trace"))
+    """(case_id, trace: array of activities); with ``cases`` also the empty traces, and events of no known case don't count."""
+    item = F.when(~F.col("_case"), F.struct(*log.order, "activity"))
+    trace = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["activity"]).alias("trace")
+    out = _with_cases(log, *dict.fromkeys([*log.order, "activity"])).groupBy("case_id").agg(trace, F.max("_case").alias("_known"))
+    return (out if log.cases is None else out.where("_known")).select("case_id", "trace")
 
 
 def variants(log: EventLog) -> DataFrame:
@@ -45,10 +50,8 @@ def end_activities(log: EventLog) -> DataFrame:
 
 def trace_lengths(log: EventLog) -> DataFrame:
     """(case_id, length)."""
-    own = log.events.groupBy("case_id").agg(F.count("*").alias("length"))
-    if log.cases is None:
-        return own
-    return log.cases.select("case_id").join(own, "case_id", "left").select("case_id", F.coalesce("length", F.lit(0)).alias("length"))
+    out = _with_cases(log).groupBy("case_id").agg(F.count(F.when(~F.col("_case"), 1)).alias("length"), F.max("_case").alias("_known"))
+    return (out if log.cases is None else out.where("_known")).select("case_id", "length")
 
 
 def trace_length_stats(log: EventLog) -> DataFrame:
