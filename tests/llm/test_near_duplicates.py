@@ -59,6 +59,28 @@ def test_minhash_equals_brute_force(spark, monkeypatch, chunk):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_prefix_index_misses_no_near_pair():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.1], rng.choice(60, 2)])).astype(np.uint64) for b in base for _ in range(12)]
+    flat, starts, near = minhash._prefix_index(sets, 75)
+    for i, s in enumerate(sets):
+        assert len(np.unique(flat[starts[i] : starts[i] + len(s)])) == len(s)
+        want = {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
+        assert want <= set(near(i).tolist())
+
+
+def test_minhash_of_many_short_texts(spark):
+    """Thousands of texts of five or six words in one bucket, all different: next to nothing to compare."""
+    import time
+
+    rows = [(i, f"the same five words here {'x' * (i % 3)}{i}") for i in range(6000)] + [(9000, "the same five words here"), (9001, "The same  five words HERE")]
+    began = time.perf_counter()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert all(got[i] == i for i in range(6000)) and got[9001] == 9000 and time.perf_counter() - began < 60
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

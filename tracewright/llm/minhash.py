@@ -7,13 +7,14 @@ coordinate, which is the least value over the set. ``bands`` bands of ``rows`` c
 Documents with equal sets become one class first; only class representatives go on. Within a bucket every representative
 is paired with the smallest one, so a bucket yields as many pairs as members, and the pairs that pass on full sets are
 united. Buckets whose members are still in different components are then compared on full sets within tasks, in chunks of
-bounded size, component against component; a task gives only the links that join components. So no pair that shares a
+bounded size, component against component, and within a chunk only sets that share one of their rarest elements; a task
+gives only the links that join components. So no pair that shares a
 bucket goes unchecked unless it is in one component already, and no pairs are listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,33 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: in
     return both.mapInArrow(returning(verify), "a long, b long")
 
 
+def _prefix_index(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """The elements of all sets as numbers in a row, where each set begins, and the sets that may be near a given one.
+
+    Elements are numbered from rare to common, and each set is sorted so. Two sets near enough have more than so many
+    elements in common, so one at least among the first few of each: only sets that share such an element come up, which
+    keeps sets of a few elements from being compared all with all.
+    """
+    n = np.array([len(s) for s in sets])
+    starts = np.cumsum(n) - n
+    _, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(counts), np.int64)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((rarity[flat], owner))
+    flat = rarity[flat][order]
+    first = np.flatnonzero(np.arange(len(flat)) - starts[owner] < (n - (n * percent + 99) // 100 + 1)[owner])
+    first = first[np.argsort(flat[first], kind="stable")]
+    elements, places = flat[first], owner[first]
+
+    def near(i: int) -> np.ndarray:
+        own = flat[starts[i] : starts[i] + n[i] - (n[i] * percent + 99) // 100 + 1]
+        a, b = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+        return np.unique(np.concatenate([places[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
+
+    return flat, starts, near
+
+
 def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join different roots within a bucket; ``members``: key, rep, root, chunks.
 
@@ -153,8 +181,7 @@ def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int)
             if not n.all():  # another row of the same doc_id, without words
                 some = n > 0
                 rep, root, n, sets = rep[some], root[some], n[some], [s for s in sets if len(s)]
-            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.cumsum(n) - n
+            flat, starts, near = _prefix_index(sets, percent)
             marks = np.zeros(int(flat.max()) + 1, np.int32)
             parent = {r: r for r in names.tolist()}
 
@@ -165,15 +192,23 @@ def _links_between(members: DataFrame, docs: DataFrame, size: int, percent: int)
 
             # every pair across components has one side outside the largest
             for i in np.flatnonzero(root != names[counts.argmax()]).tolist():
+                own = find(int(root[i]))
+                # sets of other components that may be near enough, by size too
+                j = near(i)
+                j = j[(root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
+                j = j[[find(r) != own for r in root[j].tolist()]] if len(j) else j
+                if not len(j):
+                    continue
                 mine = flat[starts[i] : starts[i] + n[i]]
                 marks[mine] = 1
-                common = np.add.reduceat(marks[flat], starts)
+                ends = np.cumsum(n[j])
+                common = np.add.reduceat(marks[flat[np.repeat(starts[j] - (ends - n[j]), n[j]) + np.arange(ends[-1])]], ends - n[j])
                 marks[mine] = 0
-                for j in np.flatnonzero((100 * common >= percent * (n[i] + n - common)) & (root != root[i])).tolist():
-                    x, y = find(int(root[i])), find(int(root[j]))
+                for k in j[100 * common >= percent * (n[i] + n[j] - common)].tolist():
+                    x, y = find(int(root[i])), find(int(root[k]))
                     if x != y:
                         parent[x] = y
-                        out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+                        out.append((int(min(rep[i], rep[k])), int(max(rep[i], rep[k]))))
         return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
 
     return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
