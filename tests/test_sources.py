@@ -190,6 +190,13 @@ def test_table_and_model_agree(spark):
     assert dfg == {("edge", "a", "a"): 1, ("edge", "a", "b"): 1, ("edge", "b", "a"): 3, ("start", None, "a"): 2, ("start", None, "b"): 3, ("end", "a", None): 4, ("end", "b", None): 1, ("empty", None, None): 1}
 
 
+def test_logs_given_in_code(spark):
+    log = tables.log_of_traces(spark, [["b", "a"], [], ["a"]])
+    assert got(log) == ["", "a", "b>a"] and logs.trace_length_stats(log).first().min_length == 0
+    told = {r.case_id: r.trace for r in logs.attempt_labels(log, spark.createDataFrame([("a",)], "activity string")).collect()}
+    assert told == {"0": None, "1": [], "2": ["a"]}
+
+
 def test_conversions():
     assert path("slang", "snfa") == ["slang", "sdfa", "snfa"]
     language = {("a", "a"): Fraction(1, 5), ("a", "b"): Fraction(1, 5), ("b", "a"): Fraction(3, 5)}

@@ -73,6 +73,13 @@ def top_activities(log: EventLog, n: int = 20) -> DataFrame:
     return activity_frequency(log).orderBy("activity").limit(n)
 
 
+def attempt_labels(log: EventLog, labels: DataFrame) -> DataFrame:
+    """(case_id, trace): the traces in terms of ``labels`` (activity); null where a label isn't among them."""
+    known = log.events.join(labels.select("activity", F.lit(True).alias("_known")).distinct(), "activity", "left")
+    bad = known.where("_known IS NULL").select("case_id", F.lit(True).alias("_bad")).distinct()
+    return traces(log).join(bad, "case_id", "left").select("case_id", F.when(F.col("_bad").isNull(), F.col("trace")).alias("trace"))
+
+
 def retain_traces(log: EventLog, condition: Column) -> EventLog:
     """The traces for which ``condition`` over the column ``trace`` (an array) and the case's attributes holds."""
     t = traces(log)

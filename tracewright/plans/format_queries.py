@@ -190,6 +190,21 @@ def _powl(spark: SparkSession, d: str) -> DataFrame:
 _add("powl_file", _powl, f"WITH {_ACT} SELECT 'node' AS part, activity AS source, NULL AS target FROM a WHERE r <= 3 UNION ALL SELECT 'edge', x.activity, y.activity FROM a x JOIN a y ON y.r = x.r + 1 WHERE y.r <= 3")
 
 
+def _tree_to_powl(spark: SparkSession, d: str) -> DataFrame:
+    """For each operator over the first activities the kinds of its partially ordered model, from the root down."""
+    rows = []
+    for kind, n in _operators(spark, d).items():
+        todo = [(powl_of_tree(Tree(n)), 0)]
+        while todo:
+            p, depth = todo.pop()
+            rows.append((kind, depth, p.kind, p.skippable))
+            todo += [(c, depth + 1) for c in p.children]
+    return spark.createDataFrame(rows, "operator string, depth int, kind string, skippable boolean").groupBy("operator", "depth", "kind", "skippable").agg(F.count("*").alias("n"))
+
+
+_add("tree_to_powl", _tree_to_powl, "SELECT operator, CAST(depth AS INTEGER) AS depth, kind, skippable, CAST(n AS BIGINT) AS n FROM (VALUES ('xor', 0, 'choice_graph', false, 1), ('xor', 1, 'activity', false, 3), ('sequence', 0, 'partial_order', false, 1), ('sequence', 1, 'activity', false, 3), ('concurrent', 0, 'partial_order', false, 1), ('concurrent', 1, 'activity', false, 3), ('or', 0, 'choice_graph', false, 1), ('or', 1, 'partial_order', false, 3), ('or', 2, 'activity', false, 3), ('or', 2, 'activity', true, 6), ('loop', 0, 'choice_graph', false, 1), ('loop', 1, 'activity', false, 3), ('interleaved', 0, 'choice_graph', false, 1), ('interleaved', 1, 'partial_order', false, 2), ('interleaved', 2, 'partial_order', false, 2), ('interleaved', 2, 'activity', false, 2), ('interleaved', 3, 'activity', false, 4)) v(operator, depth, kind, skippable, n)")
+
+
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
     """The distinct alignments of the orders, each with its share, as written and read; steps have numbers."""
     own = _moves(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "move_type", "activity"))).alias("m"))

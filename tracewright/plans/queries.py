@@ -102,6 +102,7 @@ _add("slang_normalise", _on("user_days", lambda x: _joined(languages.normalise(l
 _add("slang_partial_sum", _on("user_days", lambda x: languages.probability_sum(languages.stochastic_language(x).where("num >= 2"))), _U + ", v AS (SELECT trace, count(*) AS num FROM t GROUP BY trace HAVING count(*) >= 2) SELECT count(*) AS n_traces, CAST(sum(num) AS BIGINT) AS num, (SELECT count(*) FROM t) AS den, sum(num) <= (SELECT count(*) FROM t) AS at_most_one FROM v")
 _add("slang_equality", _on("user_days", lambda x: _joined(languages.differences(languages.stochastic_language(x), languages.stochastic_language(logs.retain_traces(x, F.expr("size(trace) <> 2")))))), _U + ", v AS (SELECT trace, any_value(n) AS n, count(*) AS c FROM t GROUP BY trace), w AS (SELECT trace, c FROM v WHERE n <> 2) SELECT trace, v.c AS na, CAST((SELECT sum(c) FROM v) AS BIGINT) AS da, w.c AS nb, CASE WHEN w.c IS NOT NULL THEN CAST((SELECT sum(c) FROM w) AS BIGINT) END AS db FROM v LEFT JOIN w USING (trace) WHERE w.c IS NULL OR v.c * (SELECT sum(c) FROM w) <> w.c * (SELECT sum(c) FROM v)")
 _add("slang_push", lambda s, d: _joined(languages.push(languages.stochastic_language(tables.user_days(s, d)).where("num >= 3"), languages.stochastic_language(tables.dialogues(s, d)))), f"WITH u AS (WITH {_t('user_days')} SELECT trace, count(*) AS num, sum(count(*)) OVER () AS den FROM t GROUP BY trace), d AS (WITH {_t('dialogues')} SELECT trace, count(*) AS num, sum(count(*)) OVER () AS den FROM t GROUP BY trace), x AS (SELECT * FROM u WHERE num >= 3 UNION ALL SELECT * FROM d), m AS (SELECT CAST(lcm(CAST(min(den) AS BIGINT), CAST(max(den) AS BIGINT)) AS BIGINT) AS den FROM x) SELECT trace, CAST(sum(num * (m.den // CAST(x.den AS BIGINT))) AS BIGINT) AS num, any_value(m.den) AS den, sum(num * (m.den // CAST(x.den AS BIGINT))) / any_value(m.den) AS probability FROM x, m GROUP BY trace")
+_add("attempt_labels", lambda s, d: _joined(logs.attempt_labels(tables.user_days(s, d), s.createDataFrame([("click",), ("view",), ("signup",)], "activity string"))), _U + "SELECT case_id, CASE WHEN bool_and(activity IN ('click', 'view', 'signup')) THEN any_value(trace) END AS trace FROM log JOIN t USING (case_id) GROUP BY case_id")
 _add("lang_union", lambda s, d: _joined(languages.union(languages.language(tables.user_days(s, d)), languages.language(tables.dialogues(s, d)))), f"SELECT trace FROM (WITH {_t('user_days')} SELECT trace FROM t) UNION SELECT trace FROM (WITH {_t('dialogues')} SELECT trace FROM t)")
 _add("trace_length_hist", _on("user_days", logs.trace_length_histogram), _U + "SELECT n AS length, count(*) AS cnt FROM t GROUP BY n")
 _add("activity_frequency", _on("user_days", logs.activity_frequency), _U + "SELECT activity, count(*) AS cnt FROM log GROUP BY 1")

@@ -32,6 +32,13 @@ def log_of(table: DataFrame, case: Column | str, activity: Column | str, order:
     return EventLog(table.select(case.cast("string").alias("case_id"), activity.cast("string").alias("activity"), *kept), tuple(order), cases)
 
 
+def log_of_traces(spark: SparkSession, traces: list[list[str]]) -> EventLog:
+    """A log of traces given in code, each a case by its number; empty ones stay."""
+    rows = [(str(c), i, a) for c, t in enumerate(traces) for i, a in enumerate(t)]
+    events = spark.createDataFrame(rows, "case_id string, pos int, activity string")
+    return EventLog(events.select("case_id", "activity", "pos"), ("pos",), spark.createDataFrame([(str(c),) for c in range(len(traces))], "case_id string"))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
