@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -430,3 +431,50 @@ def test_language_is_learnt_behind_a_long_header(spark):
     assert cut[90] is None and cut[91] == "" and all(len(cut[i]) <= 3000 and all(x in t for x in cut[i].split("\n")) for i, t, _ in rows)
     got = {r.doc_id: r.lang_pred for r in language_id.predict_language(df, language_id.fit_language_model(df)).collect()}
     assert np.mean([got[i] == x for i, _, x in rows]) > 0.95
+
+
+# ---- empty tables, and the tables of the box ---------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark):
+    none = docs_of(spark, [])
+    assert personal_data.find_personal_data(none).count() == personal_data.mask_personal_data(none).count() == 0
+    assert piece_codec.encode_documents(none, P.path("piece_bpe_32k.model")).count() == 0
+    assert language_id.predict_language(none, language_id.train(["abc def"] * 10, ["x"] * 10)).count() == language_id.accepted(none).count() == 0
+    records = spark.createDataFrame([], "conv_id long, turn long, record string")
+    turns = chat.canonical_turns(records)
+    assert turns.count() == chat.unknown_layouts(records).count() == chat.turn_digests(chat.format_turns(turns)).count() == 0
+    talk = spark.createDataFrame([(1, None, None, None), (1, 2, "user", ""), (None, 1, "user", "x"), (1, 2, "user", "")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.turn_digests(chat.format_turns(chat.canonical_turns(chat.conversation_records(talk)))).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 0 and got[None].n_turns == 1
+
+
+def test_archive_of_pages_with_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a", 5, "x", None), (None, "u", "a", 6, "y", None), (None, None, None, None, None, None)], "page_id long, url string, html string, payload_bytes long, digest string, refers_to long")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    captures = warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert sorted(c.response.record_type for c in captures) == ["response", "response", "revisit"] or sorted(c.response.record_type for c in captures) == ["response"] * 3
+    assert sorted(c.response.payload_bytes or 0 for c in captures if c.response.record_type == "response")[0] == 0
+
+
+DATA = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@needs_tables
+def test_secrets_of_the_test_tables(spark):
+    """Every planted token is found with exact borders, and hardly anything else is taken for a secret."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x} for r in personal_data.find_personal_data(docs).collect()}
+    planted = {(i, m.start(), m.end()) for i, t in texts.items() for m in re.finditer(r"(?<![0-9A-Za-z])[0-9a-fA-F]{40}(?![0-9A-Za-z])", t)}
+    got = {(i, int(a), int(b)) for i, own in found.items() for k, a, b in own if k == "secret"}
+    assert planted and planted <= got and len(got - planted) <= 2
+
+
+@needs_tables
+def test_languages_of_the_test_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = language_id.op9_query(spark, DATA).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    lettered = [r for r in got if r.lang_pred != "und"]
+    assert len(lettered) > 250 and np.mean([r.lang == r.lang_pred for r in lettered]) > 0.97 and all(0 <= r.score <= 1 for r in got)

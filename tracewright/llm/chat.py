@@ -176,7 +176,8 @@ def turn_digests(formatted: DataFrame) -> DataFrame:
     """What formatted text says of each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     One shuffle by conversation; each task then streams over its sorted stretches and keeps nothing but running digests,
-    so that a conversation may be of any length.
+    so that a conversation may be of any length. Empty texts count as turns; rows without a conv_id are one conversation;
+    rows that stand twice are turns of their own, ties in order of their stretch; an empty table gives an empty table.
     """
     ordered = formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "part", "stretch")
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -220,6 +221,7 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all conversations and of conversation -7; null texts and roles are empty."""
     import json
 
     own = json.dumps({"messages": [{"role": r, "content": CONTROL_TEXT} for r in ("user", "assistant")]})

@@ -153,6 +153,7 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, max_bits: int = MAX_
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the benchmark's windows hit in all documents; null texts have no words."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

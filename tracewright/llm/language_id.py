@@ -276,6 +276,7 @@ def accepted(docs: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those not held out; null and letterless texts are ``und`` with score 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_language_model(docs)
     out = predict_language(docs, model)

@@ -264,6 +264,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents; those without words link with nothing."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -478,4 +478,5 @@ def mask_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of all documents; null texts are empty and have none."""
     return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -237,6 +237,7 @@ def encode_documents(docs: DataFrame, model: str, digests: bool = False) -> Data
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all documents' ids and of what they decode to; null texts are empty and have begin and end id only."""
     import public_tokenizers
 
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)

@@ -237,6 +237,10 @@ def remove_repeats(docs: DataFrame, unit: str = "line", run_words: int = RUN_WOR
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the spans removed (all, and those of RUN_WORDS words or more), their words, and a digest of what stays.
+
+    Null and empty texts have no spans and the digest of nothing.
+    """
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["words"])

@@ -239,7 +239,8 @@ def read_token_files(spark: SparkSession, source: str) -> DataFrame:
 
 
 def decode_token_files(spark: SparkSession, source: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids."""
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids. An empty file set has no rows; documents of a
+    null or empty text have their end id only, and none at all if the files were written without one."""
     return _per_document(spark, source, "ids array<long>", pa.field("ids", pa.list_(pa.int64())), lambda own: own.astype(np.int64).tolist())
 
 
@@ -268,6 +269,7 @@ def _per_document(spark: SparkSession, source: str, column: str, field: pa.Field
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids in ascending doc_id order, reads the files back and digests them; null texts are empty."""
     import public_tokenizers
 
     target = scratch(spark, "token-files")

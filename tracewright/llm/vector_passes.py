@@ -182,4 +182,5 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; those that can't link are components of their own."""
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

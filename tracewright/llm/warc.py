@@ -229,7 +229,8 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response, metadata (structs; null where there is none).
 
     Records of a capture are brought together by the identifier of the response they are concurrent to. A capture has a
-    handful of records; of repeated records of a type the one with the smallest identifier counts.
+    handful of records; of repeated records of a type the one with the smallest identifier counts. A record that names no
+    other is a capture of its own; no records give no captures.
     """
     record = F.struct("record_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "block")
     keyed = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
@@ -241,6 +242,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes an archive of all pages, reads it back and tells what came of each page; null html is an empty payload."""
     target = scratch(spark, "archives")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), target)
     captures = assemble(read_records(spark, target, blocks=False))
