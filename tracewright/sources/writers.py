@@ -93,9 +93,9 @@ def write_xes(log: EventLog, path: str, compress: bool = False, event_attributes
 
 
 def _files(elements: DataFrame, head: str) -> DataFrame:
-    """The one column of ``elements`` as texts of files, each a ``log`` of up to 10,000 elements, in their order."""
+    """The one column of ``elements`` as texts of files, each a ``log`` of up to 1,000 elements, in their order."""
     (column,) = elements.columns
-    placed = elements.select(F.col(column).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 10_000).alias("chunk"))
+    placed = elements.select(F.col(column).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 1_000).alias("chunk"))
     whole = placed.groupBy("part", "chunk").agg(F.array_join(F.collect_list("x"), "\n").alias("x")).orderBy("part", "chunk")
     return whole.select(F.concat(F.lit(f"{head}\n"), "x", F.lit("\n</log>")).alias("value"))
 
@@ -130,10 +130,10 @@ def write_ocel(log: ObjectLog, path: str) -> None:
 
 
 def write_executions(executions: DataFrame, path: str) -> None:
-    """Executions as JSON files of the shape ``{"executions": [..]}``, up to 10,000 each, sorted by trace and move within a file."""
+    """Executions as JSON files of the shape ``{"executions": [..]}``, up to 1,000 each, sorted by trace and move within a file."""
     time = F.date_format("time_of_execution", "yyyy-MM-dd HH:mm:ss XXX") if dict(executions.dtypes).get("time_of_execution", "").startswith("timestamp") else F.lit(None).cast("string")
     rows = executions.withColumn("time_of_execution", time) if "time_of_execution" in executions.columns else executions
     rows = rows.repartition("trace").sortWithinPartitions("trace", "move_index")
-    whole = rows.select(F.struct(*rows.columns).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 10_000).alias("chunk"))
+    whole = rows.select(F.struct(*rows.columns).alias("x"), F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() / 1_000).alias("chunk"))
     whole = whole.groupBy("part", "chunk").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when((a["trace"] < b["trace"]) | ((a["trace"] == b["trace"]) & (a["move_index"] < b["move_index"])), -1).when((a["trace"] == b["trace"]) & (a["move_index"] == b["move_index"]), 0).otherwise(1)).alias("executions"))
     whole.select(F.to_json(F.struct("executions"), {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
