@@ -89,13 +89,17 @@ def write_ptml(tree: Tree) -> str:
 
 
 def read_pnml(text: str) -> Net:
-    """The first net of a PNML file; transitions without a name, or marked invisible, are silent."""
+    """The first net of a PNML file; transitions without a name, or marked invisible, are silent.
+
+    Deadlocks are a net's final markings here, so a declared final marking in which a transition can fire is an error.
+    """
     root = E.fromstring(text)
     for e in root.iter():
         e.tag = e.tag.rpartition("}")[2]
     net_ = root.find(".//net")
-    places = {p.get("id"): i for i, p in enumerate(net_.iter("place"))}
-    net = Net(len(places), [int((p.findtext("initialMarking/text") or "0").strip()) for p in net_.iter("place")])
+    own = [p for p in net_.iter("place") if p.get("id") is not None]
+    places = {p.get("id"): i for i, p in enumerate(own)}
+    net = Net(len(places), [int((p.findtext("initialMarking/text") or "0").strip()) for p in own])
     inputs: dict[str, list[int]] = {}
     outputs: dict[str, list[int]] = {}
     for a in net_.iter("arc"):
@@ -108,6 +112,14 @@ def read_pnml(text: str) -> Net:
         label = t.findtext("name/text")
         hidden = any(x.get("activity") == "$invisible$" for x in t.iter("toolspecific"))
         net.add(None if hidden or not label else label, inputs.get(t.get("id"), []), outputs.get(t.get("id"), []))
+    for final in net_.iterfind("finalmarkings/marking"):
+        marking = [0] * net.places
+        for p in final.iterfind("place"):
+            if p.get("idref") not in places:
+                raise ValueError(f"a final marking of the unknown place {p.get('idref')!r}")
+            marking[places[p.get("idref")]] += int((p.findtext("text") or "0").strip())
+        if net.enabled(marking):
+            raise ValueError(f"the final marking {marking} is no deadlock")
     return net
 
 
