@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import decontamination, language_id, minhash, personal_data, piece_codec
-from tracewright.llm.common import materialise
+from tracewright.llm.common import discard, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +43,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal", personal), ("tokens", tokens)]
 
-#: A trained classifier and the tokenizer can't be put in SQL; tests cover the operators, but neither the stages nor run().
+#: A trained classifier and the tokenizer can't be put in SQL; tests/llm/test_pipeline.py compares each stage, and run(), with plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
