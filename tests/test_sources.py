@@ -176,18 +176,15 @@ def test_runs():
 def test_table_and_model_agree(spark):
     """The prefix automaton made by Spark is that of the language read on the driver."""
     from tracewright.models.automata import Automaton
-    from tracewright.sources.tables import log_of
 
-    rows = [(c, i, a) for c, t in enumerate(["aa", "ab", "ba", "ba", "ba", ""]) for i, a in enumerate(t)]
-    cases = spark.range(6).select(F.col("id").cast("string").alias("case_id"))
-    log = log_of(spark.createDataFrame(rows, "c long, i int, a string"), "c", "a", ("i",), (), cases)
+    log = tables.log_of_traces(spark, [["x"], ["x", "y"], ["x", "y"], ["y", "y", "x"], []])
     slang = {tuple(r.trace): Fraction(r.num, r.den) for r in languages.stochastic_language(log).collect()}
-    assert slang == {("a", "a"): Fraction(1, 6), ("a", "b"): Fraction(1, 6), ("b", "a"): Fraction(1, 2), (): Fraction(1, 6)}
+    assert slang == {("x",): Fraction(1, 5), ("x", "y"): Fraction(2, 5), ("y", "y", "x"): Fraction(1, 5), (): Fraction(1, 5)}
     a = Automaton.of_language(slang)
     weights = sorted(r.weight for r in graphs.probabilities(graphs.prefix_automaton(log)).collect())
     assert weights == pytest.approx(sorted(map(float, [*a.arcs.values(), *a.final.values()])))
     dfg = {(r.kind, r.source, r.target): r.weight for r in graphs.directly_follows_graph(log).collect()}
-    assert dfg == {("edge", "a", "a"): 1, ("edge", "a", "b"): 1, ("edge", "b", "a"): 3, ("start", None, "a"): 2, ("start", None, "b"): 3, ("end", "a", None): 4, ("end", "b", None): 1, ("empty", None, None): 1}
+    assert dfg == {("edge", "x", "y"): 2, ("edge", "y", "y"): 1, ("edge", "y", "x"): 1, ("start", None, "x"): 3, ("start", None, "y"): 1, ("end", "x", None): 2, ("end", "y", None): 2, ("empty", None, None): 1}
 
 
 def test_logs_given_in_code(spark):
@@ -198,14 +195,15 @@ def test_logs_given_in_code(spark):
 
 
 def test_conversions():
-    assert path("slang", "snfa") == ["slang", "sdfa", "snfa"]
-    language = {("a", "a"): Fraction(1, 5), ("a", "b"): Fraction(1, 5), ("b", "a"): Fraction(3, 5)}
+    assert path("slang", "snfa") == ["slang", "sdfa", "snfa"] and path("dfg", "sbpmn")[-1] == "sbpmn" and path("ptml", "powl")
+    language = {("x", "x"): Fraction(1, 4), ("y",): Fraction(1, 4), (): Fraction(1, 2)}
     net = convert(language, "slang", "slpn")
-    assert len(net.transitions) == 8
+    assert len(net.transitions) == 6  # three arcs, three endings
     with pytest.raises(ValueError):
         path("lola", "ptree")
-    tree = T.read_tree("stochastic process tree\nsequence\n2\nactivity a\n1\nxor\n2\nactivity b\n1\nactivity c\n2\n4\n")
-    assert len(convert(tree, "sptree", "dfa").arcs) == 3
+    tree = T.read_tree("stochastic process tree\nloop\n2\nactivity work\n3\nxor\n2\nactivity pause\n1\ntau\n2\n5\n")
+    assert len(convert(tree, "sptree", "dfa").arcs) == 4
+    assert "sequenceFlow" in convert(tree, "sptree", "bpmn") and convert(convert(tree, "sptree", "ptml"), "ptml", "dfa").arcs
 
 
 def test_stream(spark, tmp_path):
