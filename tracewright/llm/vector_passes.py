@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, discard, materialise
+from .common import bound_batches, discard, materialise, pa_fields, returning
 from .graph import components
 
 #: most signs of a key
@@ -53,7 +54,7 @@ def _keys(x: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
 
 def _projected(reps: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     """rep, dim and keys (one for each pass) of ``reps`` (rep, embedding)."""
-    keyed = pa.schema([("rep", pa.int64()), ("dim", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    keyed = pa.schema([("rep", pa.int64()), ("dim", pa.int32()), ("keys", pa.list_(pa.int32()))])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +62,9 @@ def _projected(reps: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 keys = _keys(_matrix(part.column("embedding"), dim), passes, bits, seed)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([dim] * len(keys), pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))], schema=keyed)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([dim] * len(keys), pa.int32()), pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], schema=keyed)
 
-    return reps.select("rep", "embedding").mapInArrow(project, "rep long, dim int, keys array<long>")
+    return reps.select("rep", "embedding").mapInArrow(returning(project), "rep long, dim int, keys array<int>")
 
 
 def _bits(reps: DataFrame, block: int, threshold: float, passes: int | None, seed: int) -> int:
@@ -81,28 +82,34 @@ def _bits(reps: DataFrame, block: int, threshold: float, passes: int | None, see
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column, all of length ``dim`` and fit to be linked, at length 1 in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """One row for each vec_id: vec_id, embedding, digest (null where the vector links with nothing)."""
-    arrow = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("digest", pa.binary())])
+    """One row for each vec_id: vec_id, embedding as it is given (float or double), digest (null where it links with nothing)."""
+    one = vectors.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    kept, *_ = pa_fields(one.select("embedding"))
+    arrow = pa.schema([("vec_id", pa.int64()), kept, ("digest", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, kept = [], []
-            for v in batch.column("embedding").to_pylist():
-                x = None if not v or None in v else np.array(v, np.float64) + 0.0  # no negative zero
-                good = x is not None and np.isfinite(x).all() and x.any()
-                if good:
-                    x = x / np.abs(x).max()  # no overflow or underflow in the norm
-                digests.append(xxhash.xxh3_128_digest(np.array(v, np.float64).tobytes()) if good else None)
-                kept.append(x / np.linalg.norm(x) if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(kept, pa.list_(pa.float64())), pa.array(digests, pa.binary())], schema=arrow)
+            given = batch.column("embedding")
+            lengths = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = given.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # null is NaN, zero has no sign
+            starts, digests = np.cumsum(lengths) - lengths, [None] * len(lengths)
+            for dim in np.unique(lengths[lengths > 0]).tolist():
+                rows = np.flatnonzero(lengths == dim)
+                x = values[starts[rows][:, None] + np.arange(dim)]
+                for r, v in zip(rows[np.isfinite(x).all(1) & x.any(1)].tolist(), x[np.isfinite(x).all(1) & x.any(1)], strict=True):
+                    digests[r] = xxhash.xxh3_128_digest(v.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), given.cast(kept.type), pa.array(digests, pa.binary())], schema=arrow)
 
-    one = vectors.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
-    return one.mapInArrow(sign, "vec_id long, embedding array<double>, digest binary")
+    return one.mapInArrow(returning(sign), T.StructType([T.StructField("vec_id", T.LongType()), one.schema["embedding"], T.StructField("digest", T.BinaryType())]))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, passes: int | None = None, seed: int = 17) -> DataFrame:
@@ -113,7 +120,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
     ``passes`` bounds the passes; with fewer of them buckets are larger, and a pair is found as surely.
     """
     bound_batches(vectors.sparkSession)
-    signed = materialise(_classes(vectors.select("vec_id", "embedding")), "vectors")
+    # vectors travel as they are given, at half the size if they're floats
+    embedding = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    signed = materialise(_classes(vectors.select("vec_id", embedding.alias("embedding"))), "vectors")
     classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = materialise(signed.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").select(F.col("vec_id").alias("rep"), "copies", "embedding"), "representatives")
     bits = _bits(reps, block, threshold, passes, seed)
