@@ -26,11 +26,12 @@ _STATE: dict = {}
 
 
 @contextlib.contextmanager
-def task_state(key: object, make: Callable[[], T]) -> Iterator[T]:
+def task_state(key: object, make: Callable[[], T], keep: bool = False) -> Iterator[T]:
     """What a Python worker uses in a task and keeps for the next one of the same kind: one thing at a time.
 
     At the end of each task its ``forget`` method, if it has one, is called, and the memory goes back to the system: workers
-    wait between tasks and are used again by other stages, so what each kept for itself would add up without a bound.
+    wait between tasks and are used again by other stages, so what each kept for itself would add up without a bound. With
+    ``keep`` it remembers, within its own bound in bytes, until a task of another kind comes.
     """
     if key not in _STATE:
         _STATE.clear()
@@ -38,7 +39,7 @@ def task_state(key: object, make: Callable[[], T]) -> Iterator[T]:
     try:
         yield _STATE[key]
     finally:
-        if (forget := getattr(_STATE.get(key), "forget", None)) is not None:
+        if not keep and (forget := getattr(_STATE.get(key), "forget", None)) is not None:
             forget()
         give_back()
 

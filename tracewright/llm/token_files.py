@@ -142,8 +142,8 @@ class WordTokenizer:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = iter(range(0x100, 0x200))
         self._byte = [chr(b) if b in keep else chr(next(other)) for b in range(256)]
-        self._parts = WordMemo(self._encode_parts, 80_000_000)
-        self._words = WordMemo(self._encode_words, 80_000_000)
+        self._parts = WordMemo(self._encode_parts, 110_000_000)
+        self._words = WordMemo(self._encode_words, 180_000_000)
 
     def forget(self) -> None:
         """Drop what was remembered of texts."""
@@ -161,7 +161,8 @@ class WordTokenizer:
         return np.array(ids, np.uint32), np.array(counts, np.int64)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = list(map(self._split.findall, words))
+        findall = self._split.findall
+        split = [[w] if w.isascii() and w.isalpha() else findall(w) for w in words]
         ids, per_part = self._parts.gather(list(chain.from_iterable(split)))
         ends = np.concatenate([[0], np.cumsum(per_part)])[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(ends)
@@ -210,7 +211,7 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int
             held.clear()
             return row
 
-        with task_state(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer)) as own:
+        with task_state(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer), keep=True) as own:
             for batch in batches:
                 doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
                 for a, b in slices(texts):
