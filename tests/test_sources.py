@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 from fractions import Fraction
 
 import pytest
@@ -111,6 +112,44 @@ def test_ocel(spark, tmp_path):
     assert {r.attributes.get("checked") for r in again.events.collect()} == {"2023-05-02T07:30:00Z", None}
 
 
+def test_ocel_files_in_the_order_of_their_numbers(spark, tmp_path):
+    """A task's thousandth file follows the one before it, whatever the names' letters say."""
+    event = '<log><event id="{0}" type="{0}" time="2023-05-02T06:00:00Z"><attributes/><objects><relationship object-id="P" qualifier=""/></objects></event></log>'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "kinds.xml").write_text('<log><object-type name="Parcel"><attributes/></object-type><object id="P" type="Parcel"><attributes/></object></log>')
+    for name in ("part-00000-1f-c101.txt", "part-00000-1f-c999.txt", "part-00000-1f-c1000.txt.gz", "part-00001-1f-c000.txt"):
+        text = event.format(name[5:].split(".")[0]).encode()
+        (tmp_path / "log" / name).write_bytes(gzip.compress(text) if name.endswith("gz") else text)
+    assert got(readers.read_ocel_log(spark, str(tmp_path / "log"), "Parcel")) == ["00000-1f-c101>00000-1f-c999>00000-1f-c1000>00001-1f-c000"]
+
+
+def test_files_of_many_elements(spark, tmp_path, monkeypatch):
+    """Every file is a log of its own with its share of the elements, whole and in order; nothing is dealt by key for it."""
+    monkeypatch.setattr(writers, "_PER_FILE", 3, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for n, files in ((0, []), (1, [1]), (2, [2]), (3, [3]), (4, [3, 1]), (7, [3, 3, 1]), (9, [3, 3, 3])):
+            writers._write_files(spark.range(n).coalesce(1).select(F.concat(F.lit("<x>"), "id", F.lit("</x>"))), "<log>", str(tmp_path / str(n)))
+            texts = [p.read_text() for p in sorted((tmp_path / str(n)).glob("part-*")) if p.stat().st_size]
+            assert [t.count("<x>") for t in texts] == files and all(t.startswith("<log>\n<x>") and t.endswith("</x>\n</log>\n") for t in texts)
+            assert [int(x) for t in texts for x in re.findall("<x>(.)", t)] == list(range(n))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ocel_writes_links_that_lie_with_their_events(spark, tmp_path):
+    """Events that bring their relations along are written with one shuffle, for their order, and gzipped if wanted."""
+    (tmp_path / "log.ocel").write_text(OCEL)
+    log = readers.read_ocel(spark, str(tmp_path / "log.ocel"))
+    assert log.linked is not None
+    writers.write_ocel(log, str(tmp_path / "zipped"), compress=True)
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "zipped").rglob("part-*"))
+    again = readers.read_ocel(spark, str(tmp_path / "zipped"))
+    told = lambda x: sorted((r.event_id, r.event_type, r.ts, [(k.object_id, k.qualifier) for k in r.links]) for r in x.linked.collect())
+    assert told(again) == told(log) and len(told(log)) == 3
+    assert "Exchange" not in objects.order_objects(spark, "/root/testdata/sf0.001").linked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_executions(spark, tmp_path):
     move = {"trace": 3, "move_index": 1, "activity": "weigh", "also_in_log": False, "fired_transition": 6, "other_enabled_transitions": [2, 9], "move_index_of_enablement": 0, "resource": "scale 2", "resource_utilisation_fired_transition": "3/4", "other_enabled_transitions_resource_utilisation": ["1/2", None], "event_attributes": {"kg": "7"}}
     times = ["2019-11-30 23:10:05 +02:00", "2019-11-30T21:10:05Z", None]
