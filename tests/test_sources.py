@@ -212,6 +212,26 @@ def test_runs():
             contract(bad)
 
 
+def test_semantics_read_the_log_once(spark):
+    """A graph's states are numbered on a table of the graph, so its log isn't read again for each step."""
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    events = spark.createDataFrame([("1", 0, "a"), ("1", 1, "b"), ("2", 0, "b")], "case_id string, pos int, activity string").coalesce(1)
+    g = graphs.directly_follows_graph(tables.EventLog(events.mapInArrow(pass_on, events.schema), ("pos",)))
+    told = sorted(map(tuple, graphs.graph_semantics(graphs.stochastic_model_of(g)).collect()))
+    assert told == [(0, 0, 1, "b", 1), (1, 1, 3, None, 2), (2, 2, 0, "a", 1), (3, 2, 1, "b", 1)]
+    assert read.value == 3
+    model = {(r.kind, r.source, r.target, r.weight) for r in graphs.stochastic_model_of(g).collect()}
+    assert model == {("edge", "a", "b", 1), ("start", None, "a", 1), ("start", None, "b", 1), ("end", "a", None, 0), ("end", "b", None, 2)}
+    read.value = 0
+    assert graphs.automaton_semantics(graphs.probabilities(graphs.automaton_of(g))).count() == 4 and read.value == 3
+
+
 def test_table_and_model_agree(spark):
     """The prefix automaton made by Spark is that of the language read on the driver."""
     from tracewright.models.automata import Automaton
