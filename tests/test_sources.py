@@ -212,6 +212,36 @@ def test_runs():
             contract(bad)
 
 
+def test_languages_of_runs(spark):
+    """Runs alike are contracted once, whatever order their rows come in; the language is that of the runs one by one."""
+    from tracewright.operators import runs
+
+    kinds = [[(0, "a", []), (1, None, [0]), (2, "b", [1])], [(0, None, [])], [(0, "b", []), (1, "a", [])], [(0, "a", []), (1, "b", [0])]]
+    rows = [(str(r), *n) for r in range(40) for n in reversed(kinds[r % 4])]
+    nodes = spark.createDataFrame(rows, "run_id string, node int, activity string, predecessors array<int>").repartition(7)
+    told = lambda x: sorted(([(e.activity, tuple(e.predecessors)) for e in r.events], r.cnt, r.probability) for r in x.collect())
+    by_run = told(runs.partial_language(runs.contract_runs(nodes)))
+    assert told(runs.partial_language_of_runs(nodes)) == by_run == [([("a", ()), ("b", (0,))], 20, 2 / 3), ([("b", ()), ("a", ())], 10, 1 / 3)]
+    with pytest.raises(Exception, match="a cycle"):
+        runs.partial_language_of_runs(spark.createDataFrame([("x", 0, "a", [1]), ("x", 1, "b", [0])], nodes.schema)).collect()
+
+
+def test_runs_of_lines_are_dealt_once(spark, tmp_path):
+    """All windows over an order's lines and its run go by one key, so lines are shuffled once."""
+    from tracewright.operators import runs
+    from tracewright.plans.model_queries import line_runs
+
+    day = lambda d: f"2020-01-0{d} 00:00:00"
+    lines = [(1, 1, 1, 1, "A", "F", day(1)), (1, 2, 1, 1, "R", "F", day(2)), (1, 3, 1, 1, "N", "O", day(2)), (1, 4, 1, 1, "A", "F", day(4)), (2, 1, 1, 1, "R", "F", day(1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate string").withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    nodes = line_runs(spark, str(tmp_path))
+    assert sorted((r.run_id, r.node, r.activity, r.predecessors) for r in nodes.collect()) == [("1", 0, "AF", []), ("1", 1, None, [0]), ("1", 2, "NO", [0]), ("1", 3, "AF", [1, 2]), ("2", 0, None, [])]
+    found = runs.contract_runs(nodes)
+    assert sorted(map(tuple, found.collect())) == [("1", 0, "AF", []), ("1", 1, "NO", [0]), ("1", 2, "AF", [0, 1])]
+    plan = runs.contract_runs(line_runs(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_semantics_read_the_log_once(spark):
     """A graph's states are numbered on a table of the graph, so its log isn't read again for each step."""
     read = spark.sparkContext.accumulator(0)
