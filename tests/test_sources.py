@@ -89,6 +89,51 @@ def test_xes_keeps_typed_attributes(spark, tmp_path):
     assert readers.read_xes(spark, str(tmp_path / "none")).events.count() == 0
 
 
+def test_read_cases_are_not_taken_apart(spark, tmp_path):
+    """Traces and events of a XES file come with their case's attributes without a shuffle, and are those of the joins."""
+    (tmp_path / "log.xes").write_text(XES.replace('<float key="temp" value="38.5"/>', '<float key="temp" value="38.5"/><string key="temp" value="warm"/><string key="k" value="1"/><string key="k" value="2"/>'))
+    log = readers.read_xes(spark, str(tmp_path / "log.xes"))
+    apart = tables.EventLog(log.events, log.order, log.cases)
+    for of in (logs.traces, logs.traces_of_cases, logs.events_of_cases):
+        whole, joined = of(log), of(apart)
+        assert sorted(whole.columns) == sorted(joined.columns)
+        assert sorted(repr(r) for r in whole.select(*joined.columns).collect()) == sorted(repr(r) for r in joined.collect())
+        assert "Exchange" not in of(log)._jdf.queryExecution().executedPlan().toString()
+    first = logs.events_of_cases(log).where("resource = 'nurse'").first()
+    assert first.case.attributes["beds"]["value"] == "12" and first.ts.isoformat() == "2021-03-04T06:15:30.250000"
+    assert first.attributes["temp"] == ("float", "38.5") and first.attributes["k"] == ("string", "2")  # of a key that stands twice the last one counts
+    kept = logs.retain_traces(log, F.expr("size(trace) = 1 AND attributes['concept:name']['value'] = 'ward 4'"))
+    assert got(kept) == ["admit"]
+
+
+def test_files_are_written_by_one_shuffle(spark, tmp_path):
+    """A log's events are dealt once on their way into CSV or XES, and not again to see whether there are any."""
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    events = spark.createDataFrame([("1", 1, "b"), ("1", 0, "a"), ("2", 0, "b")], "case_id string, pos int, activity string").coalesce(1)
+    log = tables.EventLog(events.mapInArrow(pass_on, events.schema), ("pos",))
+    writers.write_xes(log, str(tmp_path / "xes"))
+    assert read.value == 3 and got(readers.read_xes(spark, str(tmp_path / "xes"))) == ["a>b", "b"]
+    writers.write_csv(log, str(tmp_path / "csv"))
+    assert read.value == 6 and got(readers.read_csv(spark, str(tmp_path / "csv"), "case_id", "activity")) == ["a>b", "b"]
+    for zipped in (False, True):
+        writers.write_xes(tables.EventLog(events.limit(0), ("pos",)), str(tmp_path / f"none{zipped}"), zipped)
+        assert readers.read_xes(spark, str(tmp_path / f"none{zipped}")).cases.count() == 0
+
+
+def test_a_case_is_no_wide_table(spark, tmp_path):
+    """What is read from XES lies in a table of a few columns, whatever the format's elements may hold."""
+    (tmp_path / "log.xes").write_text(XES)
+    log = readers.read_xes(spark, str(tmp_path / "log.xes"))
+    (scan,) = {line for line in log.cases._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line}
+    assert scan.count("#") == 3
+
+
 def test_ocel(spark, tmp_path):
     p = tmp_path / "log.ocel"
     p.write_text(OCEL)
