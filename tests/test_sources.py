@@ -126,12 +126,17 @@ def test_files_are_written_by_one_shuffle(spark, tmp_path):
         assert readers.read_xes(spark, str(tmp_path / f"none{zipped}")).cases.count() == 0
 
 
-def test_a_case_is_no_wide_table(spark, tmp_path):
-    """What is read from XES lies in a table of a few columns, whatever the format's elements may hold."""
-    (tmp_path / "log.xes").write_text(XES)
-    log = readers.read_xes(spark, str(tmp_path / "log.xes"))
-    (scan,) = {line for line in log.cases._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line}
-    assert scan.count("#") == 3
+def test_cases_are_read_without_their_events(spark, tmp_path):
+    """Who asks for cases has no events made, nor anything written, and cases bear the numbers that events have."""
+    (tmp_path / "log").mkdir()
+    for i in range(5):
+        (tmp_path / "log" / f"{i}.xes").write_text(XES.replace("ward 4", f"ward {i}") + " " * 100 * i)
+    log = readers.read_xes(spark, str(tmp_path / "log"))
+    plan = log.cases._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "event:" not in plan.split("ReadSchema")[1] and "/xes-" not in plan
+    names = {r.case_id: r.attributes["concept:name"]["value"] for r in log.cases.collect()}
+    assert len(names) == 15 and {r.case_id for r in log.whole.collect()} == set(names)
+    assert {(r.case_id, r.case.attributes["concept:name"]["value"]) for r in logs.events_of_cases(log).collect()} == {(r.case_id, names[r.case_id]) for r in log.events.collect()}
 
 
 def test_ocel(spark, tmp_path):
