@@ -200,6 +200,23 @@ def test_ocel_writes_links_that_lie_with_their_events(spark, tmp_path):
     assert "Exchange" not in objects.order_objects(spark, "/root/testdata/sf0.001").linked._jdf.queryExecution().executedPlan().toString()
 
 
+def test_elements_are_made_once(spark, tmp_path, monkeypatch):
+    """No filter on the texts stands in the plan of a file: Spark would make each text for it too, and for each pass of a sort."""
+    written, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, pass_on=frame.mapInArrow, **k: (written.append(self), pass_on(self, *a, **k))[1])
+    (tmp_path / "log.ocel").write_text(OCEL)
+    log = readers.read_ocel(spark, str(tmp_path / "log.ocel"))
+    writers.write_ocel(log, str(tmp_path / "again"))
+    writers.write_xes(tables.log_of_traces(spark, [["a", "b"], []]), str(tmp_path / "xes"))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in written]
+    assert len(plans) >= 4 and not any("isnotnull(value" in p or "isnotnull(concat" in p or "isnotnull(xml" in p for p in plans)
+    whole = readers.read_xes(spark, str(tmp_path / "xes"))
+    assert got(whole) == ["", "a>b"] and "size(" not in logs.events_of_cases(whole)._jdf.queryExecution().optimizedPlan().toString().split("Filter", 1)[-1].split("\n")[0]
+    odd = spark.createDataFrame([(None,), ("<x>1</x>",), (None,), ("<x>2</x>",)], "value string").coalesce(1)
+    writers._write_files(odd, "<log>", str(tmp_path / "odd"))
+    assert "".join(p.read_text() for p in (tmp_path / "odd").glob("part-*")) == "<log>\n<x>1</x>\n<x>2</x>\n</log>\n"
+
+
 def test_executions(spark, tmp_path):
     move = {"trace": 3, "move_index": 1, "activity": "weigh", "also_in_log": False, "fired_transition": 6, "other_enabled_transitions": [2, 9], "move_index_of_enablement": 0, "resource": "scale 2", "resource_utilisation_fired_transition": "3/4", "other_enabled_transitions_resource_utilisation": ["1/2", None], "event_attributes": {"kg": "7"}}
     times = ["2019-11-30 23:10:05 +02:00", "2019-11-30T21:10:05Z", None]
