@@ -293,6 +293,28 @@ def test_languages_of_runs(spark):
         runs.partial_language_of_runs(spark.createDataFrame([("x", 0, "a", [1]), ("x", 1, "b", [0])], nodes.schema)).collect()
 
 
+def test_runs_alike_are_contracted_once_in_a_task(spark, monkeypatch):
+    """Whatever batches they come in; and when too many kinds are known, a task starts afresh."""
+    from tracewright.operators import runs
+
+    done = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(runs, "contract", lambda nodes, own=runs.contract: (done.add(1), own(nodes))[1])
+    kinds = [[(0, 'a "1"', []), (1, None, [0]), (2, "b", [1])], [(0, "b", []), (1, "a", [])]]
+    nodes = spark.createDataFrame([(str(r), *n) for r in range(60) for n in kinds[r % 2]], "run_id string, node int, activity string, predecessors array<int>").coalesce(1)
+    want = sorted([(str(r), 0, 'a "1"', []) if r % 2 == 0 else (str(r), 0, "b", []) for r in range(60)] + [(str(r), 1, "b", [0]) if r % 2 == 0 else (str(r), 1, "a", []) for r in range(60)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for most, least, at_most in ((10_000, 2, 2), (1, 12, 60)):
+            monkeypatch.setattr(runs, "_REMEMBERED", most, raising=False)
+            before = done.value
+            assert sorted(map(tuple, runs.contract_runs(nodes).collect())) == want
+            assert least <= done.value - before <= at_most
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_runs_of_lines_are_dealt_once(spark, tmp_path):
     """All windows over an order's lines and its run go by one key, so lines are shuffled once."""
     from tracewright.operators import runs
@@ -307,6 +329,7 @@ def test_runs_of_lines_are_dealt_once(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [("1", 0, "AF", []), ("1", 1, "NO", [0]), ("1", 2, "AF", [0, 1])]
     plan = runs.contract_runs(line_runs(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    assert line_runs(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1  # and sorted once
 
 
 def test_semantics_read_the_log_once(spark):
