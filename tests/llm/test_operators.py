@@ -84,6 +84,18 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_digests(spark, target + "0").count() == 0
 
 
+def test_a_word_of_a_batch_is_looked_up_once():
+    own = token_files.WordTokenizer(P.path("word_bpe_49k.json"))
+    asked, rows = [], own._words.rows
+    own._words.rows = lambda words: (asked.append(len(words)), rows(words))[1]
+    texts = ["", " ", "the  The the", "x" * 50 + " été\u00a0the\tthe", "\u4e2d the", "the " * 1000, ""]
+    ids, counts = own.encode_batch(texts, 2)
+    want = [[*own.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+    assert asked == [4]  # nothing, the, x.., and what holds white space of another kind
+    assert own.encode_batch([], 2)[0].tolist() == [] and own.encode_batch(["\u4e2d"], None)[1].tolist() == [len(own.library.encode("\u4e2d", add_special_tokens=False).ids)]
+
+
 def test_other_tokenizer_files_go_through_the_library(tmp_path):
     path = P.path("word_bpe_49k.json")
     told = json.loads(open(path).read())

@@ -118,7 +118,7 @@ class WordMemo:
         rows = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new = list({words[i] for i in missing.tolist()})
+            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
             size = memo_bytes(new)
             if self._bytes + size > self._limit and self._row:
                 self.forget()
@@ -134,12 +134,12 @@ class WordMemo:
             self._flat[begin : self._used] = ids
             self._ends[n + 1 : n + 1 + len(new)] = begin + np.cumsum(counts)
             self._row.update(zip(new, range(n, n + len(new)), strict=True))
-            rows[missing] = [self._row[words[i]] for i in missing.tolist()]
+            rows[missing] = range(n, n + len(new)) if len(new) == len(missing) else [self._row[words[i]] for i in missing.tolist()]
         return rows
 
-    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``words`` in a row, and how many each word has."""
-        rows = self.rows(words)
+    def gather(self, words: list[str], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``words`` in a row, and how many each word has; with ``at``, of the words at these places of ``words``."""
+        rows = self.rows(words) if at is None else self.rows(words)[at]
         starts = self._ends[rows]
         counts = self._ends[rows + 1] - starts
         shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)

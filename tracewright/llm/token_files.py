@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,12 +61,20 @@ def pack(ids: np.ndarray) -> bytes:
         if not fits.any():
             break  # then none of the longer, narrower windows fits either
         best[: len(fits)][fits] = selector
-    step = np.maximum(COUNT, 1)[best].tolist()  # an escape takes one id
-    at, i = [], 0
+    # the places where a word begins: every sixteenth one is found by walking, those between by following all at once
+    after = np.append(np.minimum(np.arange(n) + np.maximum(COUNT, 1)[best], n), n)  # an escape takes one id
+    far = after
+    for _ in range(4):
+        far = far[far]
+    heads, i = [], 0
     while i < n:
-        at.append(i)
-        i += step[i]
-    at = np.array(at, np.int64)
+        heads.append(i)
+        i = int(far[i])
+    begins = [np.array(heads, np.int64)]
+    for _ in range(15):
+        begins.append(after[begins[-1]])
+    at = np.stack(begins, 1).ravel()
+    at = at[at < n]
     selectors = best[at]
     escaped = selectors == ESCAPE
     place = np.arange(len(at)) + np.cumsum(escaped) - escaped
@@ -169,13 +178,13 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (with ``end_id`` after each text), and each text's count."""
-        odd = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not self.by_words or not self._plain.fullmatch(t) or any(s in t for s in self._special)}
-        words, counts = [], []
-        for i, t in enumerate(texts):
-            own = [] if i in odd else t.lower().split(" ")
-            counts.append(len(own))
-            words += own
-        ids, per_word = self._words.gather(words)
+        odd = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if not self.by_words or not (t.isascii() or self._plain.fullmatch(t)) or any(s in t for s in self._special)}
+        # words are cut and told apart by Arrow, so that each one of a batch is looked up once
+        split = pc.split_pattern(pa.array([t.lower() for i, t in enumerate(texts) if i not in odd], pa.string()), " ")
+        own_counts = iter(pc.list_value_length(split).to_pylist())
+        counts = [0 if i in odd else next(own_counts) for i in range(len(texts))]
+        words = split.flatten().dictionary_encode()
+        ids, per_word = self._words.gather(words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy())
         ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *counts])]
         out = []
         lengths = np.zeros(len(texts), np.int64)
